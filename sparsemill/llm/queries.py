@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe_tree
+from .chunks import op5_chunk_fingerprints
 from .packing import op4_best_fit_packing
+from .simhash import op3_simhash_bk_trees
 
-QUERIES = {f.__name__: f for f in (op1_bpe_tree, op4_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe_tree, op3_simhash_bk_trees, op4_best_fit_packing, op5_chunk_fingerprints)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {}
