@@ -5,9 +5,21 @@ from __future__ import annotations
 from .bpe import op1_bpe_tree
 from .chunks import op5_chunk_fingerprints
 from .packing import op4_best_fit_packing
+from .quality import op2_quality_rules
+from .sharding import op8_sampled_splitters
 from .simhash import op3_simhash_bk_trees
 
-QUERIES = {f.__name__: f for f in (op1_bpe_tree, op3_simhash_bk_trees, op4_best_fit_packing, op5_chunk_fingerprints)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe_tree,
+        op2_quality_rules,
+        op3_simhash_bk_trees,
+        op4_best_fit_packing,
+        op5_chunk_fingerprints,
+        op8_sampled_splitters,
+    )
+}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {}
