@@ -16,6 +16,7 @@ import hashlib
 import json
 import re
 from bisect import bisect_left
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,11 @@ WINDOW_CHARS = 64
 #: Bytes next to a window's edge or a cut where a contraction ('re, 've, 'll) may have begun outside: agreement there doesn't count.
 MARGIN = 16
 WORD_END = "</w>"
+#: Words that a worker remembers.
+KNOWN_WORDS = 400_000
+#: ASCII and Latin letters, without those that change length in lower case.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-įĲ-ɏ]*")
+SPACES = re.compile(r"[\t-\r ]+")
 
 _coders: dict[tuple[str, int, int], TreeCoder] = {}
 
@@ -48,11 +54,48 @@ class TreeCoder:
         self.width = [0] * self.tokenizer.get_vocab_size()
         for token, i in self.tokenizer.get_vocab().items():
             self.width[i] = len(token.removesuffix(WORD_END))
+        self._prepare_words(bare)
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added = added
         self.split = re.compile("|".join(map(re.escape, added))) if added else None
 
+    def _prepare_words(self, bare: dict) -> None:
+        """Where the tokenizer keeps the matches of one pattern and encodes each alone, words are encoded once and remembered.
+
+        That holds for texts of the letters and marks in PLAIN, which both libraries' patterns
+        split alike, which NFC leaves alone, and whose white space no token shows.
+        """
+        import regex
+
+        kind = lambda x: (x or {}).get("type")
+        steps = (bare["pre_tokenizer"] or {}).get("pretokenizers", [])
+        by_pattern = [kind(x) for x in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and "Regex" in steps[0]["pattern"]
+        bytes_only = by_pattern and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"] and bare["post_processor"] is None
+        self.words: dict[str, list[int]] | None = {} if bytes_only else None
+        self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall if bytes_only else None
+        normal = (bare["normalizer"] or {}).get("normalizers", [])
+        self.lower_only = bytes_only and [kind(x) for x in normal] == ["NFC", "Replace", "Lowercase"] and normal[1]["pattern"] == {"Regex": r"\s+"} and normal[1]["content"] == " "
+
+    def normal(self, text: str) -> str:
+        """The text as the tokenizer's normaliser has it, but for the kind of its white space where that shows in no token."""
+        if self.lower_only and PLAIN.fullmatch(text):
+            return text.lower()
+        return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts that have been normalised."""
+        if self.words is None:
+            return self._library(texts)
+        found = [self.find(t) if PLAIN.fullmatch(t) else None for t in texts]
+        rest = iter(self._library([t for t, f in zip(texts, found, strict=True) if f is None]))
+        known = self.words
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        new = list({w for words in found if words for w in words if w not in known})
+        known.update(zip(new, self._library(new), strict=True))
+        return [next(rest) if words is None else list(chain.from_iterable(map(known.__getitem__, words))) for words in found]
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, batch: list[list[int]]) -> list[str]:
@@ -62,12 +105,11 @@ class TreeCoder:
         """Ids of whole texts. Level by level, all the texts' leaves and windows go to the library together, which encodes them in parallel."""
         trees: list[list[int | str]] = []  # of a text, its spans' places in `work`, and special tokens between them
         work: list[str] = []
-        normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
         for text in texts:
             trees.append(spans := [])
             for part, special in self._around_special(text):
                 spans.append(len(work))
-                work.append(normal(part))
+                work.append(self.normal(part))
                 if special:
                     spans.append(special)
         done = self._tree(work)
@@ -121,7 +163,7 @@ class TreeCoder:
         """The joined ids if the window agrees with both halves. Places are in bytes of what isn't white space, from the cut."""
         width = self.width
         low, high = max(start, cut - reach), min(end, cut + reach)
-        begins = -len(text[low:cut].replace(" ", "").encode())
+        begins = -len(SPACES.sub("", text[low:cut]).encode())
         places, at = [], begins
         for i in ids:
             places.append(at)
