@@ -22,34 +22,42 @@ LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 KEEP_FROM = 0.5
 ROUNDS = 100
+LEAST_ODDS = 3.0
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes bad where `value` is below bad[0] or above bad[1], good where it is within good, and else abstains."""
+    """Votes bad where `value` is below bad[0] or above bad[1], good where it is within good, and else abstains.
+
+    Most rules know one fault and abstain where they don't see it: a text without repeats may be
+    bad for another reason, and its good votes would outweigh the one rule that sees it.
+    """
 
     name: str
     value: str
-    good: tuple[float, float]
     bad: tuple[float, float]
+    good: tuple[float, float] | None = None
 
     def vote(self) -> Column:
         v = F.expr(self.value)
-        return F.when((v < self.bad[0]) | (v > self.bad[1]), -1).when(v.between(*self.good), 1).otherwise(0)
+        fault = F.when((v < self.bad[0]) | (v > self.bad[1]), -1)
+        return (fault.when(v.between(*self.good), 1) if self.good else fault).otherwise(0)
 
 
 NEVER = float("inf")
 RULES = (
-    Rule("repetition", "n_repeat_words / greatest(n_words, 1)", (0, 0.05), (-NEVER, 0.2)),
-    Rule("same_lines", "n_dup_lines / greatest(n_lines, 1)", (0, 0.1), (-NEVER, 0.4)),
-    Rule("capitals", "n_capitals / greatest(word_chars, 1)", (0, 0.15), (-NEVER, 0.3)),
-    Rule("symbols", "n_symbols / greatest(word_chars, 1)", (0, 0.01), (-NEVER, 0.05)),
-    Rule("word_length", "word_chars / greatest(n_words, 1)", (3.8, 5.8), (3.2, 6.1)),
-    Rule("distinct_words", "n_distinct / greatest(n_words, 1)", (0.5, 1), (0.4, NEVER)),
-    Rule("enough_words", "n_words", (30, NEVER), (LEAST_WORDS, NEVER)),
+    Rule("repetition", "n_repeat_words / greatest(n_words, 1)", (-NEVER, 0.2)),
+    Rule("same_lines", "n_dup_lines / greatest(n_lines, 1)", (-NEVER, 0.4)),
+    Rule("few_words", "n_distinct / greatest(n_words, 1)", (0.4, NEVER)),
+    Rule("capitals", "n_capitals / greatest(word_chars, 1)", (-NEVER, 0.3)),
+    Rule("symbols", "n_symbols / greatest(word_chars, 1)", (-NEVER, 0.05)),
+    Rule("word_length", "word_chars / greatest(n_words, 1)", (3.2, 6.1)),
+    Rule("plain_words", "n_plain / greatest(n_words, 1)", (0.7, NEVER), (0.9, 1)),
 )
+#: A plain word: letters, maybe one mark at the end.
+PLAIN_WORD = r"^[\p{L}]+[.,;:!?]?$"
 
 
 def repeated_words(words: Column, window: int = WINDOW_WORDS) -> Column:
@@ -97,6 +105,7 @@ def counted(docs: DataFrame, keep: list[Column]) -> DataFrame:
         F.col("n_capitals").cast("long").alias("n_capitals"),
         F.size("_lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"),
+        F.size(F.filter("_words", lambda w: w.rlike(PLAIN_WORD))).cast("long").alias("n_plain"),
     )
 
 
@@ -137,8 +146,13 @@ class Model:
 
 
 def estimate(patterns: dict[tuple[int, ...], int], rules: int = len(RULES), rounds: int = ROUNDS) -> Model:
-    """Expectation-maximisation over the counts of vote combinations. It starts from rules that are right in most cases, which says which class is good."""
-    model = Model((0.2, 0.8), [([0.4, 0.5, 0.1], [0.05, 0.25, 0.7]) for _ in range(rules)])
+    """Expectation-maximisation over the counts of vote combinations.
+
+    It starts from rules that are right in most cases, which says which class is good, and holds
+    each rule to be better than chance: a vote is LEAST_ODDS times as likely, at least, in the
+    class that it names. So a fault that only few documents have can't come to speak for them.
+    """
+    model = Model((0.2, 0.8), [([0.3, 0.6, 0.1], [0.02, 0.28, 0.7]) for _ in range(rules)])
     total = sum(patterns.values())
     for _ in range(rounds if total else 0):
         mass, seen = [0.0, 0.0], [([0.5, 0.5, 0.5], [0.5, 0.5, 0.5]) for _ in range(rules)]  # half a count more of each: no chance is 0
@@ -148,7 +162,7 @@ def estimate(patterns: dict[tuple[int, ...], int], rules: int = len(RULES), roun
                 mass[c] += part
                 for k, v in enumerate(pattern):
                     seen[k][c][v + 1] += part
-        new = Model(((mass[0] + 1) / (total + 2), (mass[1] + 1) / (total + 2)), [tuple([x / sum(row) for x in row] for row in rule) for rule in seen])
+        new = Model(((mass[0] + 1) / (total + 2), (mass[1] + 1) / (total + 2)), [_better_than_chance(*([x / sum(row) for x in row] for row in rule)) for rule in seen])
         moved = abs(new.share[0] - model.share[0])
         model = new
         if moved < 1e-9:
@@ -156,6 +170,12 @@ def estimate(patterns: dict[tuple[int, ...], int], rules: int = len(RULES), roun
     return model
 
 
+def _better_than_chance(bad: list[float], good: list[float]) -> tuple[list[float], list[float]]:
+    """Chances of (bad vote, none, good vote) in each class; what is too much for the wrong class counts as abstaining."""
+    wrong_bad, wrong_good = min(good[0], bad[0] / LEAST_ODDS), min(bad[2], good[2] / LEAST_ODDS)
+    return [bad[0], bad[1] + bad[2] - wrong_good, wrong_good], [wrong_bad, good[1] + good[0] - wrong_bad, good[2]]
+
+
 def fit(voted: DataFrame) -> Model:
     """The model of rows with `votes`. Combinations are counted where the rows are."""
     return estimate({tuple(r["votes"]): r["count"] for r in sorted(voted.groupBy("votes").count().collect(), key=lambda r: r["votes"])})
