@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, place_among
+from .common import array_of, documents, long_sql, place_among
 
 LEAST, NORMAL, MOST = 16, 64, 255
 STRICT_BITS, LOOSE_BITS = 8, 4
@@ -111,8 +111,8 @@ def with_next(docs: DataFrame, partitions: int) -> DataFrame:
     before = {p: there[k - 1] for k, p in enumerate(there)}
     every = range(len(splitters) + 1)
     at = F.col("own") + 1
-    head = F.element_at(F.array(*[F.lit(heads.get(p)).cast("long") for p in every]), at)
-    back = F.element_at(F.array(*[F.lit(before.get(p, 0)) for p in every]), at)
+    head = F.element_at(array_of([heads.get(p) for p in every], lambda h: "CAST(NULL AS BIGINT)" if h is None else long_sql(h)), at)
+    back = F.element_at(array_of([before.get(p, 0) for p in every]), at)
     spot = lambda part, ahead: F.struct(part.alias("part"), F.lit(ahead).alias("ahead"))
     spots = F.when(F.col("key") == head, F.array(spot(F.col("own"), False), spot(back, True))).otherwise(F.array(spot(F.col("own"), False)))
     dealt = keyed.withColumn("own", part).withColumn("spot", F.explode(spots)).select("spot.part", "spot.ahead", "key", "doc_id", "text")

@@ -67,13 +67,21 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit(""))), F.lit(n))
 
 
-def place_among(key: Column, splitters: list, literal: Callable[[object], Column] = F.lit) -> Column:
+def array_of(values: list, sql: Callable[[object], str] = str) -> Column:
+    """An array of constants, handed over as one text: a call for each would take longer than the query."""
+    return F.expr(f"array({', '.join(map(sql, values))})")
+
+
+def long_sql(value: int) -> str:
+    return f"{value}L"
+
+
+def place_among(key: Column, splitters: list, sql: Callable[[object], str] = long_sql) -> Column:
     """How many of the sorted `splitters` are at most `key`, natively and in the square root of their number of steps."""
     if not splitters:
         return F.lit(0)
     each = max(1, int(len(splitters) ** 0.5))
     parts = [splitters[k : k + each] for k in range(0, len(splitters), each)]
-    first = F.array(*[literal(p[0]) for p in parts])
-    rest = F.array(*[F.array(*map(literal, p)) for p in parts])
     count = lambda array: F.size(F.filter(array, lambda s: s <= key))
-    return let(count(first), lambda n: F.when(n == 0, 0).otherwise((n - 1) * each + count(F.element_at(rest, F.greatest(n, F.lit(1))))))
+    rest = array_of(parts, lambda p: f"array({', '.join(map(sql, p))})")
+    return let(count(array_of([p[0] for p in parts], sql)), lambda n: F.when(n == 0, 0).otherwise((n - 1) * each + count(F.element_at(rest, F.greatest(n, F.lit(1))))))

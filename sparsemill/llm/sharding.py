@@ -14,7 +14,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, place_among
+from .common import array_of, documents, long_sql, materialize, place_among
 
 SHARDS = 16
 RANGES_PER_SHARD = 64
@@ -33,22 +33,19 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("hash"))
 
 
-def _key(hash_: Column, doc_id: Column) -> Column:
-    return F.struct(hash_.cast("long").alias("hash"), doc_id.cast("long").alias("id"))
-
-
-ROW_KEY = _key(F.col("hash"), F.coalesce(F.col("doc_id"), F.lit(LEAST_KEY)))
+def _row_key() -> Column:
+    return F.struct(F.col("hash"), F.coalesce(F.col("doc_id"), F.lit(LEAST_KEY)).alias("id"))
 
 
 def _range_of(splitters: list[Key]) -> Column:
-    return place_among(ROW_KEY, splitters, lambda k: _key(F.lit(k[0]), F.lit(k[1]))).cast("int")
+    return place_among(_row_key(), splitters, lambda k: f"named_struct('hash', {long_sql(k[0])}, 'id', {long_sql(k[1])})").cast("int")
 
 
 def sample(rows: DataFrame, points: float, size: float, count: float, seed: int = 0) -> list[tuple[int, int, int]]:
     """(hash, id, points) of rows drawn by weight, `points` in all on average: half by the row's share of the bytes, half by its share of the rows."""
     weight = points / 2 * (F.col("size") / size + F.lit(1.0) / count)
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", "hash", F.lit(seed)), 11) / float(2**53)
-    drawn = rows.select(ROW_KEY.alias("key"), F.floor(weight + chance).cast("long").alias("n")).where("n > 0")
+    drawn = rows.select(_row_key().alias("key"), F.floor(weight + chance).cast("long").alias("n")).where("n > 0")
     return sorted((r["hash"], r["id"], r["n"]) for r in drawn.select("key.hash", "key.id", "n").collect())
 
 
@@ -112,7 +109,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges_per_shard: int = RANGES_
     splitters, held = ranges(rows, shards * ranges_per_shard)
     placed = assign(held, shards)
     every = range(len(splitters) + 1)
-    look_up = lambda k, kind: F.element_at(F.array(*[F.lit(placed.get(p, (0, 0))[k]).cast(kind) for p in every]), F.col("part") + 1)
+    look_up = lambda k, kind: F.element_at(array_of([placed.get(p, (0, 0))[k] for p in every]), F.col("part") + 1).cast(kind)
     rank = F.row_number().over(Window.partitionBy("part").orderBy("hash", "doc_id", "size"))
     return rows.withColumn("part", _range_of(splitters)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), look_up(0, "int").alias("shard"), (look_up(1, "long") + rank - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
