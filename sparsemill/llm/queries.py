@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import pii
 from .bpe import op1_bpe_tree
 from .chunks import op5_chunk_fingerprints
 from .packing import op4_best_fit_packing
@@ -17,9 +18,10 @@ QUERIES = {
         op3_simhash_bk_trees,
         op4_best_fit_packing,
         op5_chunk_fingerprints,
+        pii.op7_pii,
         op8_sampled_splitters,
     )
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_pii": pii.ORACLE}
