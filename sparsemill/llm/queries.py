@@ -5,8 +5,10 @@ from __future__ import annotations
 from . import pii
 from .bpe import op1_bpe_tree
 from .chunks import op5_chunk_fingerprints
+from .language import op6_language_id
 from .packing import op4_best_fit_packing
 from .quality import op2_quality_rules
+from .secrets import op9_secret_scan
 from .sharding import op8_sampled_splitters
 from .simhash import op3_simhash_bk_trees
 
@@ -18,8 +20,10 @@ QUERIES = {
         op3_simhash_bk_trees,
         op4_best_fit_packing,
         op5_chunk_fingerprints,
+        op6_language_id,
         pii.op7_pii,
         op8_sampled_splitters,
+        op9_secret_scan,
     )
 }
 
