@@ -11,6 +11,7 @@ from .quality import op2_quality_rules
 from .secrets import op9_secret_scan
 from .sharding import op8_sampled_splitters
 from .simhash import op3_simhash_bk_trees
+from .toxicity import op10_toxicity_grammar
 
 QUERIES = {
     f.__name__: f
@@ -24,6 +25,7 @@ QUERIES = {
         pii.op7_pii,
         op8_sampled_splitters,
         op9_secret_scan,
+        op10_toxicity_grammar,
     )
 }
 
