@@ -87,7 +87,11 @@ def repeated_words(words: Column, window: int = WINDOW_WORDS) -> Column:
 
 
 def counted(docs: DataFrame, keep: list[Column]) -> DataFrame:
-    """`keep`, then the counts that the contract names and those that rules use besides. A null text is empty."""
+    """`keep`, then the counts that the contract names and those that rules use besides. A null text is empty.
+
+    A filter that refers to `_row` stays above the counts; any other is moved below them by the
+    optimizer, which then counts anew for each place where the filter's condition has a count.
+    """
     text = F.coalesce(F.col("_text"), F.lit(""))
     gone = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
     words = F.array_remove(F.split(text, SPACE), "")
@@ -106,6 +110,7 @@ def counted(docs: DataFrame, keep: list[Column]) -> DataFrame:
         F.size("_lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"),
         F.size(F.filter("_words", lambda w: w.rlike(PLAIN_WORD))).cast("long").alias("n_plain"),
+        F.monotonically_increasing_id().alias("_row"),
     )
 
 
@@ -191,7 +196,7 @@ def keep_good(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """The documents that are kept, with their columns. The votes are counted in one pass and judged in another; no text is shuffled or written."""
     voted = votes(counted(docs, [F.struct(*[docs[c] for c in docs.columns])]))
     judged = judge(voted, fit(voted.select("votes")), keep_from)
-    return judged.where("kept").select("_keep0.*")
+    return judged.where("kept AND _row >= 0").select("_keep0.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,6 +205,6 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     A null or empty text has no words and fails; repeated rows each have their row and vote each;
     an empty table gives no rows; other columns of the input are not read.
     """
-    voted = materialize(votes(counted(documents(spark, sf_dir), [F.col("doc_id").cast("long")])), "votes")
+    voted = materialize(votes(counted(documents(spark, sf_dir), [F.col("doc_id").cast("long")])).drop("_row"), "votes")
     judged = judge(voted, fit(voted))
     return judged.select(F.col("_keep0").alias("doc_id"), *BASE, "base_failed", "kept", "posterior")

@@ -176,9 +176,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_each: int = SHI
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words_each: int = SHINGLE_WORDS) -> DataFrame:
-    """The documents less all but the one with the smallest doc_id of each component; rows without a doc_id go with a null component and stay."""
-    chosen = near_duplicates(docs.where("doc_id IS NOT NULL"), radius, words_each).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Of each component the document with the smallest doc_id, one row of it if it is repeated. Rows without a doc_id can't be told apart and stay."""
+    found = near_duplicates(docs.where("doc_id IS NOT NULL"), radius, words_each).where("doc_id = component_id")
+    chosen = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")), "chosen")
+    kept = docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if not chosen.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def op3_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
