@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .queries import graph, models, params, text  # noqa: F401  they register their queries
+from .queries.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
