@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import materialize
+
+__all__ = ["array_of", "crc_mod", "documents", "let", "long_sql", "map_slices", "materialize", "place_among"]
+
 #: Documents handed at once to a batch function, whatever Arrow's own batch size is.
 ROWS_AT_ONCE = 512
 
@@ -18,32 +20,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of its own only where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparsemill-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it again: lineage ends there.
-
-    A lost executor costs no recomputation of what was written, and a plan that uses the rows
-    twice reads them twice instead of computing them twice.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` over `value` computed once a row: higher-order functions would repeat a plain expression for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)
