@@ -176,10 +176,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_each: int = SHI
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words_each: int = SHINGLE_WORDS) -> DataFrame:
-    """Of each component the document with the smallest doc_id, one row of it if it is repeated. Rows without a doc_id can't be told apart and stay."""
+    """Of each component the document with the smallest doc_id, one row of it if it is repeated. Rows without a doc_id can't be told apart and stay.
+
+    The ids that stay grow with the corpus, so they are hashed by partition and not broadcast; the
+    documents pass by them without a sort.
+    """
     found = near_duplicates(docs.where("doc_id IS NOT NULL"), radius, words_each).where("doc_id = component_id")
     chosen = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")), "chosen")
-    kept = docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    kept = docs.join(chosen.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
     if not chosen.where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id IS NULL"))
