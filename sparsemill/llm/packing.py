@@ -23,7 +23,7 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces in a bucket of the ranking, on average.
 BUCKET_ROWS = 20_000
-LEAST_BUCKETS = 1024
+LEAST_BUCKETS = 256
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
