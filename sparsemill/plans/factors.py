@@ -31,7 +31,7 @@ class Settings:
 
 def initial(id_: Column, k: int) -> Column:
     """Numbers in [0, 1) that follow from id and place alone, the same on every run and engine."""
-    return F.array(*[F.pmod(id_ * 31 + e * 17, F.lit(100)) / F.lit(100.0) for e in range(k)])
+    return F.array(*[F.pmod(F.pmod(id_, F.lit(100)) * 31 + e * 17, F.lit(100)) / F.lit(100.0) for e in range(k)])
 
 
 def start(ids: DataFrame, column: str, k: int) -> DataFrame:
