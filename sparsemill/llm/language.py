@@ -28,7 +28,7 @@ SWITCH_PENALTY = 12.0
 #: A language is written in a script if so large a share of its training letters is.
 SCRIPT_SHARE = 0.001
 #: Letters of the words that a worker remembers.
-KNOWN_LETTERS = 3_000_000
+KNOWN_LETTERS = 1_000_000
 
 #: First code points of script ranges, in order, and their names: fixed values of the Unicode blocks.
 SCRIPTS = (
@@ -230,13 +230,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
-    """The documents whose language is known with a score of `least` or more, with their columns."""
+    """The documents whose language is known with a score of `least` or more, with their columns. Without a model, those that have a letter."""
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in batch.column(names.index("text")).to_pylist()]
-        found = labeller(model).predict(texts) if model else [(UNKNOWN, 0.0)] * len(texts)
-        return batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+        if model is None:
+            return batch.filter(pa.array([bool(words_of(t)) for t in texts], pa.bool_()))
+        return batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in labeller(model).predict(texts)], pa.bool_()))
 
     return docs.mapInArrow(map_slices(run), docs.schema)
 

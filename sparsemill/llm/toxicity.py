@@ -29,7 +29,7 @@ TRAINING_DOCUMENTS = 12_000
 LEAST_DOCUMENTS, LEAST_LOG_ODDS, MOST_ENTRIES = 6, 2.0, 5_000
 #: Letters of the beginnings of words that are learned besides whole words; 0 is the whole word.
 STEMS = (0, 3, 4, 5, 6, 7, 8)
-KNOWN_LETTERS = 3_000_000
+KNOWN_LETTERS = 1_000_000
 
 # Fixed word lists of the grammar, in English, German, French and Spanish.
 THREATS = "kill hurt destroy beat stab shoot burn crush punch strangle töten schlagen vernichten umbringen tuer frapper détruire brûler matar golpear destruir quemar".split()
