@@ -57,7 +57,7 @@ RULES = (
     Rule("plain_words", "n_plain / greatest(n_words, 1)", (0.7, NEVER), (0.9, 1)),
 )
 #: A plain word: letters, maybe one mark at the end.
-PLAIN_WORD = r"^[\p{L}]+[.,;:!?]?$"
+PLAIN_WORD = r"^[\p{L}]+[.,;:!?]?\z"
 
 
 def repeated_words(words: Column, window: int = WINDOW_WORDS) -> Column:
@@ -114,7 +114,8 @@ def counted(docs: DataFrame, keep: list[Column]) -> DataFrame:
     )
 
 
-BASE_FAILED = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
+def base_failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
 
 
 def votes(counts: DataFrame) -> DataFrame:
@@ -189,7 +190,7 @@ def fit(voted: DataFrame) -> Model:
 def judge(voted: DataFrame, model: Model, keep_from: float = KEEP_FROM) -> DataFrame:
     """Adds base_failed, kept and the posterior."""
     good = model.posterior(F.col("votes"))
-    return voted.withColumn("base_failed", BASE_FAILED).withColumn("posterior", good).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_from))
+    return voted.withColumn("base_failed", base_failed()).withColumn("posterior", good).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_from))
 
 
 def keep_good(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
@@ -207,4 +208,46 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     voted = materialize(votes(counted(documents(spark, sf_dir), [F.col("doc_id").cast("long")])).drop("_row"), "votes")
     judged = judge(voted, fit(voted))
-    return judged.select(F.col("_keep0").alias("doc_id"), *BASE, "base_failed", "kept", "posterior")
+    return judged.select(F.col("_keep0").alias("doc_id"), *BASE, "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
+
+
+def _oracle() -> str:
+    """The same in SQL: the model is a row, and a round of a recursive query makes the next one."""
+    places = [(k, c, v) for k in range(len(RULES)) for c in (0, 1) for v in (-1, 0, 1)]
+    name = lambda k, c, v: f"c{k}_{c}_{v + 1}"
+    vote = lambda r: (
+        "CASE WHEN " + " OR ".join(f"{r.value} {sign} {x}" for sign, x in (("<", r.bad[0]), (">", r.bad[1])) if abs(x) != NEVER) + " THEN -1" + (f" WHEN {r.value} BETWEEN {r.good[0]} AND {r.good[1]} THEN 1" if r.good else "") + " ELSE 0 END"
+    )
+    weight = lambda k: f"CASE v[{k + 1}] " + " ".join(f"WHEN {v} THEN ln({name(k, 1, v)} / {name(k, 0, v)})" for v in (-1, 0, 1)) + " END"
+    good = f"1 / (1 + exp(-greatest(-500, least(500, ln(s1 / s0) + {' + '.join(weight(k) for k in range(len(RULES)))}))))"
+    part = ("n * (1 - good)", "n * good")
+    seen = ", ".join(f"(0.5e0 + coalesce(sum({part[c]}) FILTER (v[{k + 1}] = {v}), 0)) / (1.5e0 + sum({part[c]})) AS {name(k, c, v)}" for k, c, v in places)
+    held = []
+    for k in range(len(RULES)):
+        wrong_bad, wrong_good = f"least({name(k, 1, -1)}, {name(k, 0, -1)} / {LEAST_ODDS})", f"least({name(k, 0, 1)}, {name(k, 1, 1)} / {LEAST_ODDS})"
+        held += [name(k, 0, -1), f"{name(k, 0, 0)} + {name(k, 0, 1)} - {wrong_good}", wrong_good, wrong_bad, f"{name(k, 1, 0)} + {name(k, 1, -1)} - {wrong_bad}", name(k, 1, 1)]
+    start = [*[0.3, 0.6, 0.1, 0.02, 0.28, 0.7] * len(RULES)]
+    return rf"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+windows AS (SELECT rid, i, array_to_string(words[i:i + {WINDOW_WORDS - 1}], ' ') AS w FROM (SELECT rid, words, unnest(range(1, len(words) - {WINDOW_WORDS - 2})) AS i FROM parts)),
+repeats AS (SELECT rid, i FROM windows WHERE (rid, w) IN (SELECT (rid, w) FROM windows GROUP BY rid, w HAVING count(*) > 1)),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM repeats, range({WINDOW_WORDS}) t(k) GROUP BY rid),
+counts AS (SELECT rid, doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+  len(regexp_extract_all(text, '\p{{Lu}}')) AS n_capitals, len(lines) AS n_lines, len(list_distinct(words)) AS n_distinct, len(list_filter(words, lambda w: regexp_full_match(w, '[\p{{L}}]+[.,;:!?]?'))) AS n_plain
+  FROM parts LEFT JOIN covered USING (rid)),
+voted AS (SELECT *, [{", ".join(map(vote, RULES))}] AS v FROM counts),
+patterns AS (SELECT v, count(*)::DOUBLE AS n FROM voted GROUP BY v),
+model AS (
+  SELECT 0 AS round, 1e0 AS moved, 0.2e0 AS s0, 0.8e0 AS s1, {", ".join(f"{x}e0 AS {name(*at)}" for x, at in zip(start, places, strict=True))}
+  UNION ALL
+  SELECT round, abs(s0 - s_before), s0, s1, {", ".join(held)} FROM (
+    SELECT round + 1 AS round, any_value(s0) AS s_before, (sum({part[0]}) + 1) / (sum(n) + 2) AS s0, (sum({part[1]}) + 1) / (sum(n) + 2) AS s1, {seen}
+    FROM (SELECT *, {good} AS good FROM model, patterns WHERE round < {ROUNDS} AND moved >= 1e-9) GROUP BY round)),
+last AS (SELECT * FROM model ORDER BY round DESC LIMIT 1),
+judged AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed, {good} AS good FROM voted, last)
+SELECT doc_id, {", ".join(BASE)}, base_failed, NOT base_failed AND good >= {KEEP_FROM} AS kept, round(good, 6) AS posterior FROM judged"""
+
+
+ORACLE = _oracle()

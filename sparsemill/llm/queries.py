@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from . import pii
+from . import pii, quality
 from .bpe import op1_bpe_tree
 from .chunks import op5_chunk_fingerprints
 from .language import op6_language_id
 from .packing import op4_best_fit_packing
-from .quality import op2_quality_rules
 from .secrets import op9_secret_scan
 from .sharding import op8_sampled_splitters
 from .simhash import op3_simhash_bk_trees
@@ -17,7 +16,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe_tree,
-        op2_quality_rules,
+        quality.op2_quality_rules,
         op3_simhash_bk_trees,
         op4_best_fit_packing,
         op5_chunk_fingerprints,
@@ -30,4 +29,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op7_pii": pii.ORACLE}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op7_pii": pii.ORACLE}
