@@ -125,8 +125,8 @@ class Plan:
         return dict(zip(("length", "first", "base", "offset", "repeats"), table.T, strict=True))
 
 
-def complement(gap: int, avail: np.ndarray) -> list[int] | None:
-    """One, two or three available lengths whose sum is `gap`; the longest are preferred."""
+def complement(gap: int, avail: np.ndarray, most: int = 3, even: bool = True) -> list[int] | None:
+    """Up to `most` (one, two or three) available lengths whose sum is `gap`; pairs of like lengths first if `even`, else of unlike ones."""
     if gap < 1:
         return None
     if avail[gap]:
@@ -134,11 +134,15 @@ def complement(gap: int, avail: np.ndarray) -> list[int] | None:
 
     def pair(total: int, left: np.ndarray) -> list[int] | None:
         low = np.arange(1, total // 2 + 1)
-        good = (left[low] > 0) & (left[total - low] > 0) & ((low * 2 != total) | (left[low] > 1))
-        return [int(total - low[good][0]), int(low[good][0])] if good.any() else None
+        good = low[(left[low] > 0) & (left[total - low] > 0) & ((low * 2 != total) | (left[low] > 1))]
+        return [total - int(good[-even]), int(good[-even])] if good.size else None
 
+    if most < 2:
+        return None
     if found := pair(gap, avail):
         return found
+    if most < 3:
+        return None
     sums = np.zeros(gap + 1, bool)  # the sums that two lengths make
     have = np.flatnonzero(avail[: gap + 1])
     for a in have:
@@ -154,28 +158,40 @@ def complement(gap: int, avail: np.ndarray) -> list[int] | None:
 
 
 def pack(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """The plan for counts[length] pieces of each length. Exact complements first, then best fit, longest first."""
-    avail = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
+    """The plan for counts[length] pieces of each length: single complements, then pairs, then triples, longest openers first, and best fit for the rest.
+
+    Complements of many short lengths use up what would fill other gaps, which tells where there
+    are few pieces. So the plan is made with complements of up to one, two and three lengths, like
+    or unlike, and the one with the fewest sequences counts; each takes milliseconds.
+    """
+    for length in counts:
         if not 1 <= length <= capacity:
             raise ValueError(f"a piece of {length} tokens doesn't fit into {capacity}")
+    plans = (_pack(counts, capacity, most, even) for most, even in ((1, True), (2, True), (2, False), (3, True), (3, False)))
+    return min(plans, key=lambda p: p.sequences)
+
+
+def _pack(counts: dict[int, int], capacity: int, most: int, even: bool) -> Plan:
+    avail = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
         avail[length] += n
     plan = Plan(capacity)
     if avail[capacity]:
         plan.groups.append((int(avail[capacity]), [(capacity, 1)]))
         avail[capacity] = 0
-    for opener in range(capacity - 1, 0, -1):
-        while avail[opener]:
-            avail[opener] -= 1
-            found = complement(capacity - opener, avail)
-            avail[opener] += 1
-            if not found:
-                break
-            need = dict(zip(*np.unique([opener, *found], return_counts=True), strict=True))
-            copies = int(min(avail[a] // k for a, k in need.items()))
-            for a, k in need.items():
-                avail[a] -= copies * k
-            plan.groups.append((copies, [(int(a), int(k)) for a, k in sorted(need.items(), reverse=True)]))
+    for up_to in range(1, most + 1):
+        for opener in range(capacity - 1, 0, -1):
+            while avail[opener]:
+                avail[opener] -= 1
+                found = complement(capacity - opener, avail, up_to, even)
+                avail[opener] += 1
+                if not found:
+                    break
+                need = dict(zip(*np.unique([opener, *found], return_counts=True), strict=True))
+                copies = int(min(avail[a] // k for a, k in need.items()))
+                for a, k in need.items():
+                    avail[a] -= copies * k
+                plan.groups.append((copies, [(int(a), int(k)) for a, k in sorted(need.items(), reverse=True)]))
     _best_fit(avail, plan)
     return plan
 
