@@ -322,7 +322,7 @@ def test_grammar_weighs_clauses():
     assert weight("she said idiot") < weight("an idiot") and weight('he "idiot" ok') < weight("he idiot ok")
     assert weight("not good. an idiot") == weight("an idiot")  # a negation ends with its clause
     assert weight("i will kill you") == 0 and weight("you i will kill") > 0
-    assert weight("moronsly") == 0 and weight("moronsss") == 4 and weight("") == 0
+    assert weight("moronsly") == 4 and weight("moron") == 0 and weight("") == 0
     assert weight("idiot " * 100) == toxicity.CLAUSE_MOST
 
 
