@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -54,12 +55,25 @@ def update(table: DataFrame, deltas: DataFrame, gather: Callable[[Column], Colum
 
     Any built-in or pandas aggregate may gather; an associative one is partial before the shuffle.
     """
+    _check_arguments(gather, 1)
+    _check_arguments(apply, 2)
     gathered = deltas.groupBy("key").agg(gather(F.col("delta")).alias("delta"))
     return table.join(gathered, "key", "left").select("key", F.when(F.col("delta").isNotNull(), apply(F.col("value"), F.col("delta"))).otherwise(F.col("value")).alias("value"))
 
 
+def _check_arguments(f: Callable, n: int) -> None:
+    """An accumulator that can't be called with n columns is refused before anything runs."""
+    try:
+        inspect.signature(f).bind(*range(n))
+    except TypeError as wrong:
+        raise TypeError(f"an accumulator takes {n} argument{'s' * (n > 1)}: {wrong}") from None
+    except ValueError:  # a built-in without a signature
+        pass
+
+
 def update_in_order(table: DataFrame, deltas: DataFrame, step: Callable[[Column, Column], Column]) -> DataFrame:
     """An accumulator that isn't associative: `step` folds the deltas (key, seq, delta) of each key in order of seq. A key's deltas must fit in a row."""
+    _check_arguments(step, 2)
     held = deltas.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("d"))
     folded = F.aggregate(F.coalesce("d", F.array()), F.col("value"), lambda v, d: step(v, d["delta"]))
     return table.join(held, "key", "left").select("key", F.when(F.col("d").isNull(), F.col("value")).otherwise(folded).alias("value"))
@@ -69,6 +83,10 @@ def remove(table: DataFrame, keys: DataFrame) -> DataFrame:
     return table.join(keys.select("key"), "key", "left_anti")
 
 
+def clear(table: DataFrame) -> DataFrame:
+    return table.limit(0)
+
+
 def pull(table: DataFrame, keys: DataFrame) -> DataFrame:
     """The value of each key asked for, null where it is absent."""
     return keys.select("key").join(table, "key", "left").select("key", "value")

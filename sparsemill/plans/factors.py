@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import add, avg_arrays, clamp, dot
 from ..operators.grid import cell_of
-from .loop import cut, rounds
+from .loop import cut, stale_rounds
 
 LOW, HIGH = 1.0, 5.0
 
@@ -72,22 +72,28 @@ def moved(factors: DataFrame, steps: DataFrame, key: str, f: str, b: str, k: int
     return factors.join(mean, "id", "left").select("id", F.coalesce(add(F.col("f"), F.col("df")), F.col("f")).alias("f"), (F.col("b") + F.coalesce("db", F.lit(0.0))).alias("b"))
 
 
-def epoch(edges: DataFrame, users: DataFrame, items: DataFrame, s: Settings, mean: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """One round over all edges. Means are partial before each shuffle, so what moves is factors, not steps."""
+def epoch(edges: DataFrame, users: DataFrame, items: DataFrame, s: Settings, mean: float = 0.0, newest: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """One round over all edges: steps from `users` and `items`, added to them or to `newest`.
+
+    Means are partial before each shuffle, so what moves is factors, not steps.
+    """
     by_user = deltas(with_factors(edges, users, items, "i"), s, mean)
     by_item = deltas(with_factors(edges, users, items, "j"), s, mean)
     bias = "dbu" if s.biased else "0D"
     by_user = by_user.withColumn("_b", F.expr(bias))
     by_item = by_item.withColumn("_b", F.expr("dbi" if s.biased else "0D"))
-    return moved(users, by_user, "i", "dp", "_b", s.k), moved(items, by_item, "j", "dq", "_b", s.k)
+    own_users, own_items = newest or (users, items)
+    return moved(own_users, by_user, "i", "dp", "_b", s.k), moved(own_items, by_item, "j", "dq", "_b", s.k)
+
 
+def fit(edges: DataFrame, users: DataFrame, items: DataFrame, s: Settings, n_rounds: int, mean: float = 0.0, staleness: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Rounds whose steps may come from factors that are so many rounds old; each round's factors are written, which ends their lineage."""
 
-def fit(edges: DataFrame, users: DataFrame, items: DataFrame, s: Settings, n_rounds: int, mean: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    def step(state: dict[str, DataFrame], k: int) -> dict[str, DataFrame]:
-        u, i = epoch(edges, state["users"], state["items"], s, mean)
+    def step(seen: dict[str, DataFrame], newest: dict[str, DataFrame], k: int) -> dict[str, DataFrame]:
+        u, i = epoch(edges, seen["users"], seen["items"], s, mean, (newest["users"], newest["items"]))
         return cut({"users": u, "items": i}, k)
 
-    state = rounds({"users": users, "items": items}, step, n_rounds)
+    state = stale_rounds({"users": users, "items": items}, step, n_rounds, staleness)
     return state["users"], state["items"]
 
 
@@ -109,25 +115,51 @@ def regularised_loss(edges: DataFrame, users: DataFrame, items: DataFrame, s: Se
     return with_factors(edges, users, items).agg(F.sum(e * e + (squares("p") + squares("q")) * (s.beta / 2)).alias("loss"))
 
 
-Pass = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Settings], None]
+@dataclass
+class Cell:
+    """What a task learns from: edges by the places of their ends, and the factors and biases of these, which a pass changes."""
 
+    i: np.ndarray
+    j: np.ndarray
+    v: np.ndarray
+    p: np.ndarray
+    q: np.ndarray
+    bu: np.ndarray
+    bi: np.ndarray
+    mean: float = 0.0
 
-def simultaneous(i: np.ndarray, j: np.ndarray, v: np.ndarray, p: np.ndarray, q: np.ndarray, s: Settings) -> None:
-    """Edge by edge; both ends move from the factors before."""
-    for a, b, value in zip(i, j, v, strict=True):
-        e = 2 * (value - p[a] @ q[b])
-        p[a], q[b] = p[a] + s.alpha * (e * q[b] - s.beta * p[a]), q[b] + s.alpha * (e * p[a] - s.beta * q[b])
+    def error(self, s: Settings, a: int, b: int, value: float) -> float:
+        found = self.p[a] @ self.q[b]
+        if s.biased:
+            found += self.mean + self.bu[a] + self.bi[b]
+        return value - (min(HIGH, max(LOW, found)) if s.clamped else found)
 
 
-def one_after_the_other(i: np.ndarray, j: np.ndarray, v: np.ndarray, p: np.ndarray, q: np.ndarray, s: Settings) -> None:
-    """Edge by edge and place by place; the item's number moves from the user's new one."""
-    for a, b, value in zip(i, j, v, strict=True):
-        e = 2 * (value - p[a] @ q[b])
+def _pass(cell: Cell, s: Settings, one_by_one: bool) -> None:
+    p, q, bu, bi = cell.p, cell.q, cell.bu, cell.bi
+    for a, b, value in zip(cell.i, cell.j, cell.v, strict=True):
+        e = 2 * cell.error(s, a, b, value)
+        old = p[a].copy()
         p[a] += s.alpha * (e * q[b] - s.beta * p[a])
-        q[b] += s.alpha * (e * p[a] - s.beta * q[b])
+        q[b] += s.alpha * (e * (p[a] if one_by_one else old) - s.beta * q[b])
+        if s.biased:
+            bu[a] += s.alpha * (e - s.beta * bu[a])
+            bi[b] += s.alpha * (e - s.beta * bi[b])
+
+
+def simultaneous(cell: Cell, s: Settings) -> None:
+    """Edge by edge; both ends move from the factors before."""
+    _pass(cell, s, one_by_one=False)
+
+
+def one_after_the_other(cell: Cell, s: Settings) -> None:
+    """Edge by edge; the item moves from the user's new factors."""
+    _pass(cell, s, one_by_one=True)
 
 
-def grid_round(edges: DataFrame, users: DataFrame, items: DataFrame, s: Settings, rows: int, columns: int, learn: Pass = simultaneous, order: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def grid_round(
+    edges: DataFrame, users: DataFrame, items: DataFrame, s: Settings, rows: int, columns: int, learn: Callable[[Cell, Settings], None] = simultaneous, order: Callable[[Column, Column], Column] | None = None, mean: float = 0.0
+) -> tuple[DataFrame, DataFrame]:
     """One round in which each cell of a grid goes through its edges one by one, from common factors; the cells' changes are averaged.
 
     A cell is a task's rows, so a grid must have cells that fit in memory. `order` sorts a cell's
@@ -136,18 +168,19 @@ def grid_round(edges: DataFrame, users: DataFrame, items: DataFrame, s: Settings
     key = order or (lambda i, j: F.lit(0))
     joined = with_factors(edges, users, items).withColumn("cell", cell_of(F.col("i"), F.col("j"), rows, columns)).withColumn("turn", key(F.col("i"), F.col("j")))
 
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values(["turn", "i", "j", "v"], kind="stable")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["turn", "i", "j", "v"], kind="stable")
         sides = []
-        for ids, factors in (("i", "p"), ("j", "q")):
-            first = cell.drop_duplicates(ids)
+        for ids, factors, bias in (("i", "p", "bu"), ("j", "q", "bi")):
+            first = rows.drop_duplicates(ids)
             names = first[ids].to_numpy()
-            sides.append((names, {x: n for n, x in enumerate(names)}, np.stack(first[factors].to_numpy()).astype(float)))
-        (i_ids, i_at, p), (j_ids, j_at, q) = sides
-        p0, q0 = p.copy(), q.copy()
-        learn(cell["i"].map(i_at).to_numpy(), cell["j"].map(j_at).to_numpy(), cell["v"].to_numpy(), p, q, s)
-        return pd.concat([pd.DataFrame({"side": side, "id": ids, "delta": list(new - old)}) for side, ids, new, old in (("i", i_ids, p, p0), ("j", j_ids, q, q0))])
-
-    steps = joined.select("cell", "turn", "i", "j", "v", "p", "q").groupBy("cell").applyInPandas(run, "side string, id long, delta array<double>")
-    side = lambda factors, name: moved(factors, steps.where(F.col("side") == name).withColumn("_b", F.lit(0.0)), "id", "delta", "_b", s.k)
+            sides.append((names, rows[ids].map({x: n for n, x in enumerate(names)}).to_numpy(), np.stack(first[factors].to_numpy()).astype(float), first[bias].to_numpy(float).copy()))
+        (i_ids, i, p, bu), (j_ids, j, q, bi) = sides
+        cell = Cell(i, j, rows["v"].to_numpy(), p.copy(), q.copy(), bu.copy(), bi.copy(), mean)
+        learn(cell, s)
+        changed = (("i", i_ids, cell.p - p, cell.bu - bu), ("j", j_ids, cell.q - q, cell.bi - bi))
+        return pd.concat([pd.DataFrame({"side": side, "id": ids, "delta": list(f), "bias": b}) for side, ids, f, b in changed])
+
+    steps = joined.select("cell", "turn", "i", "j", "v", "p", "q", "bu", "bi").groupBy("cell").applyInPandas(run, "side string, id long, delta array<double>, bias double")
+    side = lambda factors, name: moved(factors, steps.where(F.col("side") == name), "id", "delta", "bias", s.k)
     return side(users, "i"), side(items, "j")

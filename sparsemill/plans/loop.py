@@ -22,6 +22,20 @@ def rounds(state: State, step: Callable[[State, int], State], n: int, done: Call
     return state
 
 
+def stale_rounds(state: State, step: Callable[[State, State, int], State], n: int, staleness: int = 0) -> State:
+    """n rounds of bounded staleness: round t learns from the state of round t - staleness, or the first, and changes the newest one.
+
+    step(seen, newest, k) gives the next state. That is the latest that the bound allows every
+    worker to be, and so the same on every run; without staleness it is rounds().
+    """
+    held = [state]
+    for k in range(n):
+        held.append(step(held[0], held[-1], k))
+        if len(held) > staleness + 1:
+            held.pop(0)
+    return held[-1]
+
+
 def cut(tables: dict[str, DataFrame], k: int, every: int = 1) -> dict[str, DataFrame]:
     """The tables, written to the shared folder and read again in every `every`-th round."""
     return {name: materialize(t, f"{name}-{k}") for name, t in tables.items()} if (k + 1) % every == 0 else tables

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, sigmoid
-from .loop import rounds
+from .loop import rounds, stale_rounds
 
 Theta = list[float]
 
@@ -40,16 +40,16 @@ def loss(samples: DataFrame, theta: Theta) -> DataFrame:
     return predict(samples, theta).agg(F.avg(F.pow(F.col("y") - F.col("p"), 2)).alias("loss"))
 
 
-def logistic_step(samples: DataFrame, theta: Theta, alpha: float, beta: float) -> Theta:
-    """theta plus the mean of all samples' steps: alpha (y - p) x - 2 alpha beta theta, the intercept included."""
+def logistic_step(samples: DataFrame, theta: Theta, alpha: float, beta: float, newest: Theta | None = None) -> Theta:
+    """`newest`, else theta, plus the mean of all samples' steps at theta: alpha (y - p) x - 2 alpha beta theta, the intercept included."""
     p = probability(F.col("x"), theta)
     means = samples.agg(*[F.avg((F.col("y") - p) * F.get("x", F.lit(k))).alias(f"g{k}") for k in range(len(theta))]).first()
-    return [t + alpha * (means[k] or 0.0) - 2 * alpha * beta * t for k, t in enumerate(theta)]
+    return [new + alpha * (means[k] or 0.0) - 2 * alpha * beta * t for k, (t, new) in enumerate(zip(theta, newest or theta, strict=True))]
 
 
-def fit_logistic(samples: DataFrame, theta: Theta, alpha: float, beta: float, n_rounds: int) -> Theta:
-    """Rounds with a barrier after each: one aggregation, whose result is a row."""
-    return rounds(list(theta), lambda t, _: logistic_step(samples, t, alpha, beta), n_rounds)
+def fit_logistic(samples: DataFrame, theta: Theta, alpha: float, beta: float, n_rounds: int, staleness: int = 0) -> Theta:
+    """Rounds with a barrier after each: one aggregation, whose result is a row. Steps may be taken from a theta that is so many rounds old."""
+    return stale_rounds(list(theta), lambda seen, newest, _: logistic_step(samples, seen, alpha, beta, newest), n_rounds, staleness)
 
 
 def local_logistic(x: np.ndarray, y: np.ndarray, theta: np.ndarray, alpha: float, beta: float) -> np.ndarray:

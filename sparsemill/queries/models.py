@@ -9,6 +9,16 @@ from ..plans import factors as MF
 from ..plans import regression as R
 from .registry import RATINGS, SAMPLES, query, ratings, samples, table
 
+@query(f"SELECT l_orderkey, l_linenumber, x0, round(x1, 6) AS x1, x2, x3, y FROM {SAMPLES}")
+def q41b_csv_samples(spark, sf_dir):
+    """Samples that go through lines of numbers, label last."""
+    from ..sources.lines import sample_of
+
+    rows = samples(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array_join(F.concat(F.slice("x", 2, 3), F.array("y")).cast("array<string>"), ",").alias("value"))
+    parsed = rows.select("l_orderkey", "l_linenumber", sample_of(F.col("value")).alias("s"))
+    return parsed.select("l_orderkey", "l_linenumber", *[F.round(F.get("s.x", F.lit(k)), 6).alias(f"x{k}") for k in range(4)], "s.y")
+
+
 THETA = [0.1, -0.2, 0.3, 0.4]
 ALPHA, BETA = 0.5, 0.001
 _Z = "0.1e0 * x0 - 0.2e0 * x1 + 0.3e0 * x2 + 0.4e0 * x3"

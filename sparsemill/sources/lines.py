@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,11 +27,15 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*rest, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
+def sample_of(line: Column, separator: str = ",") -> Column:
+    """x (1.0, then all fields but the last) and y (the last field) of a line of numbers."""
+    n = F.transform(F.split(line, f"\\Q{separator}\\E"), lambda s: F.trim(s).cast("double"))
+    return F.struct(F.concat(F.array(F.lit(1.0)), F.slice(n, F.lit(1), F.size(n) - 1)).alias("x"), F.element_at(n, -1).alias("y"))
+
+
 def read_samples(spark: SparkSession, paths: str | list[str], separator: str = ",") -> DataFrame:
-    """x (1.0, then all fields but the last) and y (the last field) of numeric lines."""
-    numbers = F.transform(F.split("value", f"\\Q{separator}\\E"), lambda s: F.trim(s).cast("double"))
-    rows = read_lines(spark, paths).where(F.trim("value") != "").select(numbers.alias("n"))
-    return rows.select(F.concat(F.array(F.lit(1.0)), F.slice("n", F.lit(1), F.size("n") - 1)).alias("x"), F.element_at("n", -1).alias("y"))
+    """The samples of all lines that aren't blank."""
+    return read_lines(spark, paths).where(F.trim("value") != "").select(sample_of(F.col("value"), separator).alias("s")).select("s.x", "s.y")
 
 
 def classification_samples(spark: SparkSession, n: int, features: int = 20, seed: int = 0) -> DataFrame:

@@ -27,7 +27,7 @@ def start(k=2):
     return f(5), f(4)
 
 
-def held(df, n, k=2):
+def held_of(df, n):
     found = {r["id"]: r["f"] for r in df.collect()}
     return np.array([found[x] for x in range(n)])
 
@@ -43,7 +43,7 @@ def test_epoch_is_mean_of_steps(spark, ratings):
             dp[i].append(s.alpha * (2 * e * q[j] - s.beta * p[i]))
             dq[j].append(s.alpha * (2 * e * p[i] - s.beta * q[j]))
         p, q = p + [np.mean(d, axis=0) for d in dp], q + [np.mean(d, axis=0) for d in dq]
-    assert np.allclose(held(users, 5), p) and np.allclose(held(items, 4), q)
+    assert np.allclose(held_of(users, 5), p) and np.allclose(held_of(items, 4), q)
     e = np.array([v - p[i] @ q[j] for i, j, v in TRIPLES])
     assert np.isclose(MF.rmse(ratings, users, items, s).first()[0], np.sqrt((e**2).mean()))
     loss = sum(x**2 for x in e) + sum(s.beta / 2 * (p[i] @ p[i] + q[j] @ q[j]) for i, j, _ in TRIPLES)
@@ -61,30 +61,56 @@ def test_biases(spark, ratings):
     assert set(pred.values()) == {5.0}
 
 
-@pytest.mark.parametrize("learn", [MF.simultaneous, MF.one_after_the_other])
-def test_grid_round_is_a_serial_pass_in_one_cell(ratings, learn):
-    s = MF.Settings(2, 0.05, 0.02)
-    users, items = MF.grid_round(ratings, MF.start(ratings, "i", 2), MF.start(ratings, "j", 2), s, 1, 1, learn)
-    p, q = start()
-    for i, j, v in sorted(TRIPLES):
-        e = 2 * (v - p[i] @ q[j])
+@pytest.mark.parametrize("staleness", [0, 1, 2])
+def test_stale_steps(ratings, staleness):
+    s = MF.Settings(2, 0.1, 0.02)
+    users, items = MF.fit(ratings, MF.start(ratings, "i", 2), MF.start(ratings, "j", 2), s, 4, staleness=staleness)
+    held = [start()]
+    for t in range(4):
+        p, q = held[max(0, t - staleness)]
+        dp, dq = [[] for _ in p], [[] for _ in q]
+        for i, j, v in TRIPLES:
+            e = v - p[i] @ q[j]
+            dp[i].append(s.alpha * (2 * e * q[j] - s.beta * p[i]))
+            dq[j].append(s.alpha * (2 * e * p[i] - s.beta * q[j]))
+        held.append((held[-1][0] + [np.mean(d, axis=0) for d in dp], held[-1][1] + [np.mean(d, axis=0) for d in dq]))
+    assert np.allclose(held_of(users, 5), held[-1][0]) and np.allclose(held_of(items, 4), held[-1][1])
+
+
+def serial_pass(triples, p, q, s, one_by_one=False, bu=None, bi=None, mean=0.0):
+    for i, j, v in sorted(triples):
+        found = p[i] @ q[j] + (mean + bu[i] + bi[j] if s.biased else 0)
+        e = 2 * (v - (np.clip(found, 1, 5) if s.clamped else found))
         old = p[i].copy()
         p[i] = p[i] + s.alpha * (e * q[j] - s.beta * p[i])
-        q[j] = q[j] + s.alpha * (e * (old if learn is MF.simultaneous else p[i]) - s.beta * q[j])
-    assert np.allclose(held(users, 5), p) and np.allclose(held(items, 4), q)
+        q[j] = q[j] + s.alpha * (e * (p[i] if one_by_one else old) - s.beta * q[j])
+        if s.biased:
+            bu[i] += s.alpha * (e - s.beta * bu[i])
+            bi[j] += s.alpha * (e - s.beta * bi[j])
+
+
+@pytest.mark.parametrize("learn", [MF.simultaneous, MF.one_after_the_other])
+@pytest.mark.parametrize("biased", [False, True])
+def test_grid_round_is_a_serial_pass_in_one_cell(ratings, learn, biased):
+    s = MF.Settings(2, 0.05, 0.02, biased, clamped=biased)
+    users, items = MF.grid_round(ratings, MF.start(ratings, "i", 2), MF.start(ratings, "j", 2), s, 1, 1, learn, mean=3.0)
+    p, q = start()
+    bu, bi = np.zeros(5), np.zeros(4)
+    serial_pass(TRIPLES, p, q, s, learn is MF.one_after_the_other, bu, bi, 3.0)
+    assert np.allclose(held_of(users, 5), p) and np.allclose(held_of(items, 4), q)
+    assert np.allclose([r["b"] for r in users.orderBy("id").collect()], bu) and np.allclose([r["b"] for r in items.orderBy("id").collect()], bi)
 
 
 def test_grid_round_averages_cells(ratings):
     s = MF.Settings(2, 0.05, 0.02)
     users, _ = MF.grid_round(ratings, MF.start(ratings, "i", 2), MF.start(ratings, "j", 2), s, 1, 2)
-    p0, q0 = start()
     ends = []
     for c in (0, 1):
-        p, q = p0.copy(), q0.copy()
-        cell = sorted(t for t in TRIPLES if t[1] % 2 == c)
-        MF.simultaneous(*np.array(cell).T.astype(int)[:2], np.array([float(t[2]) for t in cell]), p, q, s)
+        p, q = start()
+        cell = [t for t in TRIPLES if t[1] % 2 == c]
+        serial_pass(cell, p, q, s)
         ends.append((p, {t[0] for t in cell}))
-    for i, f in enumerate(held(users, 5)):
+    for i, f in enumerate(held_of(users, 5)):
         assert np.allclose(f, np.mean([p[i] for p, has in ends if i in has], axis=0))
 
 
@@ -112,6 +138,16 @@ def test_logistic(spark):
     assert np.isclose(R.loss(df, theta.tolist()).first()[0], ((y - 1 / (1 + np.exp(-x @ theta))) ** 2).mean())
 
 
+def test_stale_logistic(spark):
+    x, y, df = samples(spark)
+    held = [np.zeros(3)]
+    for t in range(5):
+        seen = held[max(0, t - 2)]
+        p = 1 / (1 + np.exp(-x @ seen))
+        held.append(held[-1] + 0.5 * ((y - p)[:, None] * x).mean(axis=0) - 2 * 0.5 * 0.01 * seen)
+    assert np.allclose(R.fit_logistic(df, [0.0] * 3, 0.5, 0.01, 5, staleness=2), held[-1])
+
+
 def test_local_logistic_in_one_task_is_serial(spark):
     x, y, df = samples(spark)
     theta = np.zeros(3)

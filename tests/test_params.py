@@ -78,6 +78,16 @@ def test_update(spark, table):
     assert rows(P.update_in_order(table, deltas, lambda v, d: v * 10 + d)) == [("a", 134.0), ("b", 2.0), ("c", 2.0)]
 
 
+def test_accumulators_are_checked(spark, table):
+    deltas = spark.createDataFrame([("a", 1, 3.0)], "key string, seq long, delta double")
+    for gather, apply in ((F.max, lambda v: v), (lambda: 1, F.greatest)):
+        with pytest.raises(TypeError, match="an accumulator takes"):
+            P.update(table, deltas, gather, apply)
+    with pytest.raises(TypeError, match="takes 2 arguments"):
+        P.update_in_order(table, deltas, lambda v: v)
+    assert P.clear(table).count() == 0
+
+
 def test_top(table):
     assert [r["key"] for r in P.top(table, 2).collect()] == ["b", "c"]
     assert [r["key"] for r in P.bottom(table, 2, F.col("key") != "a").collect()] == ["b", "c"]
