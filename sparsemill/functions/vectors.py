@@ -10,6 +10,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def dot_of(a: Column, b: Column, size: int) -> Column:
+    """dot() of arrays of a known size, written out: it stays in generated code."""
+    return sum((F.get(a, F.lit(k)) * F.get(b, F.lit(k)) for k in range(1, size)), F.get(a, F.lit(0)) * F.get(b, F.lit(0)))
+
+
 def add(value: Column, delta: Column) -> Column:
     """Element-wise sum over the delta's length: a longer value is cut, for a shorter one there is no sum (null)."""
     total = F.zip_with(F.slice(value, F.lit(1), F.size(delta)), delta, lambda x, y: x + y)
@@ -24,7 +29,7 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def sum_arrays(vector: Column, size: int) -> list[Column]:
+def sum_arrays(vector: Column, size: int) -> Column:
     """Element-wise sums of an aggregation, as one array column: an expression for each element keeps the partial aggregation in generated code."""
     return F.array(*[F.sum(F.get(vector, F.lit(k))) for k in range(size)])
 

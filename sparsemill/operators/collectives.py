@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import avg_arrays
 from .ranks import ranked
 
 
@@ -30,4 +31,4 @@ def shuffled(rows: DataFrame, id_: str, seed: int, round_: int) -> DataFrame:
 
 def mean_of_deltas(deltas: DataFrame, key: str, size: int) -> DataFrame:
     """The element-wise mean of the deltas that workers push for each key: under a barrier, the mean of their local models."""
-    return deltas.groupBy(key).agg(F.array(*[F.avg(F.get("delta", F.lit(k))) for k in range(size)]).alias("delta"))
+    return deltas.groupBy(key).agg(avg_arrays(F.col("delta"), size).alias("delta"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import add
+from ..functions.vectors import add, sum_arrays
 
 PUSH, INC, REMOVE = "push", "inc", "remove"
 
@@ -27,9 +27,9 @@ def replay(ops: DataFrame) -> DataFrame:
     absent. Both steps aggregate before they shuffle, so a key with very many operations is no
     task's burden but for the join with its one row, which is split if skewed.
     """
-    last = ops.where(F.col("op") != INC).groupBy("key").agg(F.max(F.struct("seq", "op", "value")).alias("last")).where(F.col("last.op") == PUSH)
-    later = ops.where(F.col("op") == INC).join(last, "key").where(F.col("seq") > F.col("last.seq")).groupBy("key").agg(F.sum("value").alias("more"))
-    return last.join(later, "key", "left").select("key", (F.col("last.value") + F.coalesce("more", F.lit(0.0))).alias("value"))
+    last = ops.where(F.col("op") != INC).groupBy("key").agg(F.max("seq").alias("last"), F.max_by("value", "seq").alias("pushed"), F.max_by(F.col("op") == PUSH, "seq").alias("there")).where("there")
+    later = ops.where(F.col("op") == INC).join(last, "key").where("seq > last").groupBy("key").agg(F.sum("value").alias("more"))
+    return last.join(later, "key", "left").select("key", (F.col("pushed") + F.coalesce("more", F.lit(0.0))).alias("value"))
 
 
 def inc(table: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def inc(table: DataFrame, deltas: DataFrame) -> DataFrame:
 
 def inc_vectors(table: DataFrame, deltas: DataFrame, size: int) -> DataFrame:
     """inc() of arrays: the deltas have `size` elements, and so has the sum; a shorter value stays as it is."""
-    more = deltas.groupBy("key").agg(F.array(*[F.sum(F.get("delta", F.lit(k))) for k in range(size)]).alias("delta"))
+    more = deltas.groupBy("key").agg(sum_arrays(F.col("delta"), size).alias("delta"))
     return table.join(more, "key", "left").select("key", F.coalesce(add(F.col("value"), F.col("delta")), F.col("value")).alias("value"))
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import add, avg_arrays, clamp, dot
+from ..functions.vectors import add, avg_arrays, clamp, dot_of
 from ..operators.grid import cell_of
 from .loop import cut, stale_rounds
 
@@ -52,18 +52,23 @@ def with_factors(edges: DataFrame, users: DataFrame, items: DataFrame, last: str
 
 
 def prediction(s: Settings, mean: float = 0.0, clamped: bool | None = None) -> Column:
-    p = dot(F.col("p"), F.col("q"))
+    p = dot_of(F.col("p"), F.col("q"), s.k)
     if s.biased:
         p = p + F.col("bu") + F.col("bi") + mean
     return clamp(p, LOW, HIGH) if (s.clamped if clamped is None else clamped) else p
 
 
 def deltas(joined: DataFrame, s: Settings, mean: float = 0.0) -> DataFrame:
-    """The step of each edge for both of its ends, from the same factors: dp, dq, dbu, dbi."""
+    """The step of each edge for both of its ends, from the same factors: dp, dq, dbu, dbi.
+
+    The steps are written out place by place, which refers to the error often enough that the
+    optimizer computes it once a row; within a higher-order function it would be computed for each place.
+    """
     e = F.col("v") - prediction(s, mean)
-    step = lambda own, other: F.zip_with(own, other, lambda x, y: (y * 2 * F.col("e") - x * s.beta) * s.alpha)
+    at = lambda c, k: F.get(F.col(c), F.lit(k))
+    step = lambda own, other: F.array(*[(at(other, k) * 2 * F.col("e") - at(own, k) * s.beta) * s.alpha for k in range(s.k)])
     bias = lambda b: (2 * F.col("e") - s.beta * F.col(b)) * s.alpha
-    return joined.withColumn("e", e).select("i", "j", step(F.col("p"), F.col("q")).alias("dp"), step(F.col("q"), F.col("p")).alias("dq"), bias("bu").alias("dbu"), bias("bi").alias("dbi"))
+    return joined.withColumn("e", e).select("i", "j", step("p", "q").alias("dp"), step("q", "p").alias("dq"), bias("bu").alias("dbu"), bias("bi").alias("dbi"))
 
 
 def moved(factors: DataFrame, steps: DataFrame, key: str, f: str, b: str, k: int) -> DataFrame:
@@ -111,7 +116,7 @@ def rmse(edges: DataFrame, users: DataFrame, items: DataFrame, s: Settings, mean
 def regularised_loss(edges: DataFrame, users: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
     """For each edge its squared error and beta / 2 times the squares of its factors; the sum in one row."""
     e = F.col("v") - prediction(s)
-    squares = lambda f: dot(F.col(f), F.col(f))
+    squares = lambda f: dot_of(F.col(f), F.col(f), s.k)
     return with_factors(edges, users, items).agg(F.sum(e * e + (squares("p") + squares("q")) * (s.beta / 2)).alias("loss"))
 
 

@@ -195,3 +195,11 @@ def test_jobs(spark, tmp_path, job, monkeypatch):
 def test_constant(spark):
     assert spark.range(1).select(R.constant([1, 2.5]).alias("t")).first()["t"] == [1.0, 2.5]
     assert spark.range(1).select(F.round(R.linear(R.constant([1, 2]), [3, 4]), 6).alias("z")).first()["z"] == 11
+
+
+def test_the_error_is_computed_once_a_row(ratings):
+    s = MF.Settings(6, 0.1, 0.02)
+    users, _ = MF.epoch(ratings, MF.start(ratings, "i", 6), MF.start(ratings, "j", 6), s)
+    plan = users._jdf.queryExecution().executedPlan().toString()
+    steps = next(line for line in plan.split("\n") if "partial_avg" in line)
+    assert "SortAggregate" not in plan and "aggregate(" not in plan and steps.count("partial_avg") == 7
