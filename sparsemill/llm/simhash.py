@@ -161,7 +161,8 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     own = F.pmod(F.xxhash64("print", F.lit(1)), F.col("trees")).cast("int")
     dealt = placed.join(shards, ["t", "bits"]).select("print", "t", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
     keyed = dealt.select(F.xxhash64("t", "bits", "tree").alias("shard"), "print", (F.col("own") == F.col("tree")).alias("member"))
-    return keyed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_linked(radius), "u long, v long")
+    # sorted by print too: a task that is run again makes the same stars
+    return keyed.repartition("shard").sortWithinPartitions("shard", "print").mapInArrow(_linked(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_each: int = SHINGLE_WORDS) -> DataFrame:
