@@ -135,7 +135,10 @@ def complement(gap: int, avail: np.ndarray, most: int = 3, even: bool = True) ->
     def pair(total: int, left: np.ndarray) -> list[int] | None:
         low = np.arange(1, total // 2 + 1)
         good = low[(left[low] > 0) & (left[total - low] > 0) & ((low * 2 != total) | (left[low] > 1))]
-        return [total - int(good[-even]), int(good[-even])] if good.size else None
+        if not good.size:
+            return None
+        chosen = int(good[-1] if even else good[0])
+        return [total - chosen, chosen]
 
     if most < 2:
         return None
