@@ -134,11 +134,12 @@ def q48_dot(spark, sf_dir):
 
 
 @query(
-    "WITH c AS (SELECT vec_id AS i, k - 1 AS j, embedding[k]::DOUBLE AS v FROM (SELECT vec_id, embedding, unnest(generate_series(1, 16)) AS k FROM embeddings)),"
-    " w AS (SELECT j, m, ((j * 31 + m * 17) % 100) / 100e0 AS v FROM generate_series(0, 15) a(j), generate_series(0, 3) b(m))"
+    "WITH c AS (SELECT vec_id AS i, k - 1 AS j, embedding[k]::DOUBLE AS v FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS k FROM embeddings)),"
+    " w AS (SELECT j, m, ((j * 31 + m * 17) % 100) / 100e0 AS v FROM generate_series(0, 63) a(j), generate_series(0, 3) b(m))"
     " SELECT c.i, w.m::INTEGER AS j, round(sum(c.v * w.v), 5) AS v FROM c JOIN w USING (j) GROUP BY c.i, w.m"
 )
 def q62_matmul(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double")).alias("x"))
-    weights = spark.range(16).select(F.col("id").cast("int").alias("i"), F.posexplode(F.array(*[(F.pmod(F.col("id") * 31 + m * 17, F.lit(100)) / 100.0) for m in range(4)])).alias("j", "v"))
+    """All vectors, of 64 places, by a matrix of 64 x 4."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    weights = spark.range(64).select(F.col("id").cast("int").alias("i"), F.posexplode(F.array(*[(F.pmod(F.col("id") * 31 + m * 17, F.lit(100)) / 100.0) for m in range(4)])).alias("j", "v"))
     return V.matmul(V.cells(vectors, "vec_id", "x"), weights).withColumn("v", F.round("v", 5))

@@ -72,36 +72,45 @@ def q31_kv_remove(spark, sf_dir):
     return _held(spark, sf_dir).withColumn("value", F.round("value", 4))
 
 
-@query(f"SELECT key FROM {_PUSHED} WHERE key NOT IN (SELECT key FROM {OPERATIONS} WHERE op = 'remove' AND seq % 2 = 0)")
+@query(f"SELECT key, value FROM {_PUSHED} WHERE key NOT IN (SELECT key FROM {OPERATIONS} GROUP BY key HAVING max_by(op, seq) = 'remove')")
 def q31b_kv_remove_keys(spark, sf_dir):
-    gone = operations(spark, sf_dir).where("op = 'remove' AND seq % 2 = 0")
-    return P.remove(_pushed(spark, sf_dir), gone).select("key")
+    """The keys whose last operation is a remove go."""
+    gone = operations(spark, sf_dir).groupBy("key").agg(F.max_by("op", "seq").alias("last")).where(F.col("last") == P.REMOVE)
+    return P.remove(_pushed(spark, sf_dir), gone)
 
 
-@query(f"SELECT r.key, round(t.value, 4) AS value FROM (SELECT unnest(generate_series(0, 199))::BIGINT AS key) r LEFT JOIN {TABLE} t USING (key)")
+_ASKED = "(SELECT c_custkey AS key FROM customer)"
+
+
+def _asked(spark, sf_dir):
+    """All customers' keys; some have no value."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+
+
+@query(f"SELECT r.key, round(t.value, 4) AS value FROM {_ASKED} r LEFT JOIN {TABLE} t USING (key)")
 def q32_pull(spark, sf_dir):
-    keys = spark.range(200).withColumnRenamed("id", "key")
-    return P.pull(_held(spark, sf_dir), keys).withColumn("value", F.round("value", 4))
+    return P.pull(_held(spark, sf_dir), _asked(spark, sf_dir)).withColumn("value", F.round("value", 4))
 
 
 @query(
     f"SELECT r.request, r.pos::INTEGER AS pos, 'p_' || r.index AS key, round(t.value, 4) AS value"
-    f" FROM (SELECT request, pos, (request * 37 + pos * 11) % 180 AS index FROM generate_series(0, 9) a(request), generate_series(0, 7) b(pos)) r LEFT JOIN {TABLE} t ON t.key = r.index"
+    f" FROM (SELECT o_orderkey AS request, unnest([0, 1, 2]) AS pos, unnest([o_custkey, o_orderkey, o_custkey]) AS index FROM orders) r LEFT JOIN {TABLE} t ON t.key = r.index"
 )
 def q33_pull_multi(spark, sf_dir):
+    """Each order asks for three keys, in order."""
     held = _held(spark, sf_dir).select(F.concat(F.lit("p_"), "key").alias("key"), "value")
-    asked = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (F.col("id") * 37 + k * 11) % 180)
-    return P.pull_many(held, spark.range(10).select(F.col("id").alias("request"), asked.alias("indexes")), "p_").withColumn("value", F.round("value", 4))
+    requests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request"), F.array("o_custkey", "o_orderkey", "o_custkey").alias("indexes"))
+    return P.pull_many(held, requests, "p_").withColumn("value", F.round("value", 4))
 
 
-@query(f"SELECT r.key, t.key IS NOT NULL AS present FROM (SELECT unnest(generate_series(0, 199))::BIGINT AS key) r LEFT JOIN {TABLE} t USING (key)")
+@query(f"SELECT r.key, t.key IS NOT NULL AS present FROM {_ASKED} r LEFT JOIN {TABLE} t USING (key)")
 def q34_contains(spark, sf_dir):
-    return P.contains(_held(spark, sf_dir), spark.range(200).withColumnRenamed("id", "key"))
+    return P.contains(_held(spark, sf_dir), _asked(spark, sf_dir))
 
 
-@query(f"SELECT key, round(value, 4) AS value FROM {TABLE} WHERE key % 3 = 0")
+@query(f"SELECT key, round(value, 4) AS value FROM {TABLE} WHERE value > 250")
 def q35_read_all(spark, sf_dir):
-    return P.read_all(_held(spark, sf_dir), F.col("key") % 3 == 0).withColumn("value", F.round("value", 4))
+    return P.read_all(_held(spark, sf_dir), F.col("value") > 250).withColumn("value", F.round("value", 4))
 
 
 @query(f"SELECT key, round(value, 4) AS value FROM {TABLE} ORDER BY 2 DESC, key LIMIT 10")
@@ -109,9 +118,9 @@ def q36_read_topk(spark, sf_dir):
     return P.top(_held(spark, sf_dir).withColumn("value", F.round("value", 4)), 10)
 
 
-@query(f"SELECT key, round(value, 4) AS value FROM {TABLE} WHERE key > 10 ORDER BY 2, key LIMIT 10")
+@query(f"SELECT key, round(value, 4) AS value FROM {TABLE} WHERE value >= 1 ORDER BY 2, key LIMIT 10")
 def q37_read_btmk(spark, sf_dir):
-    return P.bottom(_held(spark, sf_dir).withColumn("value", F.round("value", 4)), 10, F.col("key") > 10)
+    return P.bottom(_held(spark, sf_dir).withColumn("value", F.round("value", 4)), 10, F.col("value") >= 1)
 
 
 @query(f"SELECT key, CASE WHEN key % 2 = 0 THEN key + 0.5e0 ELSE value END AS value, key % 2 = 0 AS swapped FROM {_PUSHED}")
