@@ -350,3 +350,65 @@ def test_toxicity_on_held_out_documents(spark):
     model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
     found = {x["doc_id"]: x["score"] for x in toxicity.score(df, model).where(toxicity.crc_mod(F.col("doc_id"), 3) == 1).collect()}
     assert all((s >= 0.7) == (k % 5 == 0) for k, s in found.items()) and len(found) > 200
+
+
+def test_personal_data_in_random_texts(spark):
+    import re
+
+    from sparsemill.llm import pii
+
+    r = random.Random(3)
+    parts = ["a@b.c", "@", ".", "..", "1", "22", "255", "256", "0001", "+", "+1", " ", "-", "(", ")", "x%y@z-1.q", "é", "🎉", "4111111111111111", "4111 1111 1111 1111", "+1 (319) 555-5132", "10.0.0.1", "a.b@c.d@e.f", "\n", "A", "DE89370400440532013000", "ssn 123-45-6789"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(1500)]
+    luhn = lambda d: sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(d[::-1])) % 10 == 0
+    valid = {
+        "email": lambda m: True, "ip": lambda m: all(int(x) < 256 for x in m.split(".")),
+        "card": lambda m: 12 <= len(d := re.sub("[ -]", "", m)) <= 19 and luhn(d), "phone": lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15,
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in pii.find(df, ["doc_id"]).collect():
+        text = texts[row["doc_id"]]
+        want = sorted((m.start(), k, m.end()) for k, kind in enumerate(pii.KINDS[:4]) for m in re.finditer(kind.pattern, text, re.ASCII) if valid[kind.name](m[0]))
+        assert [(s["start"], s["kind"], s["end"]) for s in row["spans"] if s["kind"] < 4] == want, text
+        assert all(text[s["start"] : s["end"]] == s["hit"] and 0 < s["score"] <= 1 for s in row["spans"])
+
+
+def test_bank_accounts_and_context(spark):
+    from sparsemill.llm import pii
+
+    texts = ["GB82 WEST 1234 5698 7654 32", "GB83 WEST 1234 5698 7654 32", "my ssn is 123-45-6789", "part 123-45-6789"]
+    found = {r["doc_id"]: [(pii.KINDS[s["kind"]].name, s["hit"]) for s in r["spans"]] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).collect()}
+    assert found == {0: [("iban", texts[0])], 1: [], 2: [("ssn", "123-45-6789")], 3: []}
+
+
+def test_running_sums(spark):
+    from sparsemill.llm import pii
+
+    lists = [[1], [3, 4, 5], list(range(1, 50)), [7] * 1000]
+    df = spark.createDataFrame([(x,) for x in lists], "x array<int>")
+    for r in df.select("x", pii.running(F.col("x")).alias("s")).collect():
+        assert r["s"] == np.cumsum([0, *r["x"][:-1]]).tolist()
+
+
+def test_repeated_words_in_random_texts(spark):
+    r = random.Random(9)
+    texts = [[r.choice("abcdefgh"[: r.randint(1, 8)]) for _ in range(r.randint(0, 60))] for _ in range(600)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, w array<string>")
+    for row in df.select("k", quality.repeated_words(F.col("w")).alias("n")).collect():
+        words, at = texts[row["k"]], {}
+        for i in range(len(words) - 7):
+            at.setdefault(tuple(words[i : i + 8]), []).append(i)
+        assert row["n"] == len({i + j for x in at.values() if len(x) > 1 for i in x for j in range(8)}), words
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "PassWord", "api_key", "apikey", "token", "secret", "=", ":", " ", '"', "'", "a", "Z9", "deadbeef", "0af9" * 8, "AKIA", "ABCDEF123456", "ſecret", ".", "é", "\n", "-----BEGIN", "://u:pw1234@"]), max_size=25).map("".join))
+def test_base_secrets_in_random_texts(text):
+    import re
+
+    plain = [(m.start(), 0, m.end()) for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
+    plain += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    plain += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    assert secrets.base_spans(text) == plain
+    for start, kind, end in secrets.added_candidates(text, plain):
+        assert kind > 2 and not any(s < end and start < e for s, _, e in plain)
