@@ -31,8 +31,8 @@ SEED = 42
 #: Fingerprints of a shard on average, at most, and of a tree.
 SHARD_MEAN = 64
 TREE_MOST = 1024
-#: Rows of a task that are searched at once.
-ROWS_AT_ONCE = 50_000
+#: Rows whose trees a task holds at once, searches that run together, and nodes that these visit together.
+ROWS_AT_ONCE, SEARCHES_AT_ONCE, VISITS_AT_ONCE = 50_000, 1024, 100_000
 
 
 def fingerprint(raw: bytes, words_each: int = SHINGLE_WORDS) -> int:
@@ -85,18 +85,28 @@ class BkForest:
             rest = rest[at[rest] != rest]
 
     def search(self, prints: np.ndarray, root: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (place in `prints`, node) within the radius, each searched from its root."""
+        """Pairs (place in `prints`, node) within the radius, each searched from its root.
+
+        Searches go level by level; a level of too many is halved, and one half waits, so that
+        memory doesn't follow the density of the trees.
+        """
         near, around = ([], []), np.arange(-radius, radius + 1)
-        who, node = np.arange(len(prints)), root
-        while who.size:
+        waiting = [(np.arange(len(prints)), root)]
+        while waiting:
+            who, node = waiting.pop()
+            if len(who) > VISITS_AT_ONCE:
+                half = len(who) // 2
+                waiting += [(who[half:], node[half:]), (who[:half], node[:half])]
+                continue
             d = np.bitwise_count(prints[who] ^ self.prints[node]).astype(np.int64)
             near[0].append(who[d <= radius])
             near[1].append(node[d <= radius])
             edge = d[:, None] + around
             below = np.where((edge >= 0) & (edge <= 64), self.child[node[:, None], np.clip(edge, 0, 64)], -1)
             row, col = np.nonzero(below >= 0)
-            who, node = who[row], below[row, col]
-        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in near)
+            if row.size:
+                waiting.append((who[row], below[row, col]))
+        return tuple(np.concatenate(x) for x in near)
 
 
 def blocks_for(n: int, radius: int = RADIUS) -> int:
@@ -126,13 +136,13 @@ def _linked(radius: int, rows: int = ROWS_AT_ONCE):
         own = np.searchsorted(shard[nodes][forest.root], shard)
         has = own < len(forest.root)
         has[has] = shard[nodes][forest.root][own[has]] == shard[has]
-        a, b = [], []
-        for k in range(0, len(shard), 4096):
-            who = k + np.flatnonzero(has[k : k + 4096])
+        label = np.arange(len(shard))
+        for k in range(0, len(shard), SEARCHES_AT_ONCE):  # what is found joins components at once, as a dense tree finds very many pairs
+            who = k + np.flatnonzero(has[k : k + SEARCHES_AT_ONCE])
             x, y = forest.search(prints[who], forest.root[own[who]], radius)
-            a.append(who[x])
-            b.append(nodes[y])
-        label = local_components(len(shard), np.concatenate(a), np.concatenate(b))
+            a, b = label[who[x]], label[nodes[y]]
+            if (a != b).any():
+                label = local_components(len(shard), a, b)[label]
         far = np.flatnonzero(label != np.arange(len(shard)))
         return pa.RecordBatch.from_arrays([pa.array(prints[far].view(np.int64)), pa.array(prints[label[far]].view(np.int64))], ["u", "v"])
 
