@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 #: What a rating that is missing counts as: a fixed value of the ratings-log format.
 MISSING_RATING = 3.7
 #: Words are runs of these; anything else, accented letters too, parts them.
-WORD_BREAK = "[^-a-zA-Z0-9_]"
+WORD_BREAK = "[^-a-zA-Z0-9_]+"
+#: What parts an item from its weight.
+ITEM_BREAK = "[:| ]+"
 
 
 def quoted(separator: str) -> str:
-    """A regular expression that matches `separator` literally."""
+    """A regular expression that matches `separator` literally. One character is written so that splitting by it needs no pattern."""
+    if len(separator) == 1:
+        return separator if separator.isalnum() or separator.isspace() else f"\\{separator}"
     return f"\\Q{separator}\\E"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
+    return F.array_remove(F.split(text, WORD_BREAK), "")
 
 
 def fields(line: Column, separator: str) -> Column:
     """The fields of a line as strings (format b). A trailing newline isn't part of the last one."""
-    return F.split(F.regexp_replace(line, r"[\r\n]+$", ""), quoted(separator))
+    return F.split(F.rtrim(line, F.lit("\r\n")), quoted(separator))
 
 
 def integer_fields(line: Column, separator: str) -> Column:
@@ -61,7 +65,7 @@ def rating_record(line: Column, separator: str = "\t") -> Column:
 
 def weighted_item(item: Column) -> Column:
     """(item, weight) of `item:weight`, where colon, pipe or blank part them; the weight is 1 without one, and further parts are not read."""
-    parts = F.split(item, "[:| ]+")
+    parts = F.split(item, ITEM_BREAK)
     weight = F.when(F.size(parts) > 1, F.get(parts, F.lit(1))).cast("double")
     return F.struct(F.get(parts, F.lit(0)).alias("j"), F.coalesce(weight, F.lit(1.0)).alias("v"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fields, head_and_items, rating_record, weighted_item
+from ..functions.text import ITEM_BREAK, fields, head_and_items, rating_record
 
 EDGE = ("i", "j", "v")
 
@@ -41,12 +41,16 @@ def triples_of(lines: DataFrame, record: Column, mixed: bool) -> DataFrame:
     No shuffle: an edge is made where its line was read. Equal edges stay apart.
     """
     rows = lines.select(record.alias("r")).where("size(r) > 0 AND NOT (size(r) = 1 AND r[0] = '')")
+    at = lambda c, k: F.get(c, F.lit(k))
+    weight = F.coalesce(at("parts", 1).cast("double"), F.lit(1.0))
     if mixed:
-        return rows.select(F.get("r", F.lit(0)).alias("i"), F.explode(F.slice("r", F.lit(2), F.size("r") - 1)).alias("item")).select("i", weighted_item(F.col("item")).alias("w")).select("i", "w.j", "w.v")
-    shape = F.raise_error(F.concat(F.lit("a record has two or three fields, not "), F.size("r").cast("string")))
-    pair = weighted_item(F.get("r", F.lit(1)))
-    triple = F.when(F.size("r") == 3, F.struct(F.get("r", F.lit(1)).alias("j"), F.get("r", F.lit(2)).cast("double").alias("v")))
-    return rows.select(F.get("r", F.lit(0)).alias("i"), F.when(F.size("r") == 2, pair).when(F.size("r") == 3, triple).otherwise(shape.cast("struct<j:string,v:double>")).alias("w")).select("i", "w.j", "w.v")
+        items = rows.select(at("r", 0).alias("i"), F.explode(F.slice("r", F.lit(2), F.size("r") - 1)).alias("item"))
+        return items.select("i", F.split("item", ITEM_BREAK).alias("parts")).select("i", at("parts", 0).alias("j"), weight.alias("v"))
+    wrong = F.raise_error(F.concat(F.lit("a record has two or three fields, not "), F.col("n").cast("string"))).cast("array<string>")
+    fields_ = rows.select(at("r", 0).alias("i"), at("r", 1).alias("item"), at("r", 2).alias("third"), F.size("r").alias("n"))
+    # the parts are a column of their own, so that an item is split once
+    parts = fields_.select("i", "third", "n", F.when(F.col("n") == 2, F.split("item", ITEM_BREAK)).when(F.col("n") == 3, F.array("item")).otherwise(wrong).alias("parts"))
+    return parts.select("i", at("parts", 0).alias("j"), F.when(F.col("n") == 3, F.col("third").cast("double")).otherwise(weight).alias("v"))
 
 
 def ratings(lines: DataFrame, separator: str = "\t", line: str = "value") -> DataFrame:
