@@ -72,7 +72,13 @@ def q46_linreg_bgd(spark, sf_dir):
     return _row(spark, theta).withColumn("sse", F.round(F.lit(float(sse)), 2))
 
 
-@query("SELECT 0.0005555959e0 AS t0, 0.3330270461e0 AS t1, 0.3327612525e0 AS t2, 0.3325253083e0 AS t3")
+@query(
+    "WITH RECURSIVE f AS (SELECT 0 AS step, 0e0 AS t0, 0.33e0 AS t1, 0.33e0 AS t2, 0.33e0 AS t3 UNION ALL"
+    " SELECT step + 1, CASE WHEN step % 4 = 0 THEN t0 - 0.002e0 * e ELSE t0 END, "
+    + ", ".join(f"CASE WHEN step % 4 = {k} THEN t{k} - 0.002e0 * e * n ELSE t{k} END" for k in (1, 2, 3))
+    + " FROM (SELECT *, t0 + t1 * n + t2 * n + t3 * n - n AS e FROM (SELECT *, step // 4 + 1 AS n FROM f WHERE step < 36)))"
+    " SELECT " + ", ".join(f"round(t{k}, 10) AS t{k}" for k in range(4)) + " FROM f WHERE step = 36"
+)
 def q47_lms(spark, sf_dir):
     """Nine samples x = (1, n, n, n), y = n."""
     rows = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda n: F.struct(F.array(F.lit(1.0), *[n.cast("double")] * 3).alias("x"), n.cast("double").alias("y")))

@@ -203,3 +203,10 @@ def test_the_error_is_computed_once_a_row(ratings):
     plan = users._jdf.queryExecution().executedPlan().toString()
     steps = next(line for line in plan.split("\n") if "partial_avg" in line)
     assert "SortAggregate" not in plan and "aggregate(" not in plan and steps.count("partial_avg") == 7
+
+
+def test_least_mean_squares_golden(spark):
+    from sparsemill.catalog import QUERIES
+
+    row = QUERIES["q47_lms"](spark, "").first()
+    assert np.allclose(list(row), [0.0005555958509, 0.3330270461257, 0.3327612525274, 0.3325253083941], atol=1e-10)
