@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import array_of, documents, long_sql, place_among
+from .common import array_of, documents, long_sql, place_among, small_batches
 
 LEAST, NORMAL, MOST = 16, 64, 255
 STRICT_BITS, LOOSE_BITS = 8, 4
@@ -156,6 +156,7 @@ def _edited(doc_id: int, text: str, print_: str, chunks: set[str], after: str, a
 
 
 def edited_likeness(docs: DataFrame, partitions: int) -> DataFrame:
+    small_batches()
     return with_next(docs, partitions).mapInArrow(_compared, EDITED)
 
 

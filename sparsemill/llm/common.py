@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..shared import materialize
 
-__all__ = ["array_of", "crc_mod", "documents", "let", "long_sql", "map_slices", "materialize", "place_among"]
+__all__ = ["array_of", "crc_mod", "documents", "let", "long_sql", "map_slices", "materialize", "place_among", "small_batches"]
 
 #: Documents handed at once to a batch function, whatever Arrow's own batch size is.
 ROWS_AT_ONCE = 512
@@ -25,9 +25,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def small_batches() -> None:
+    """Have Spark hand over Arrow batches of ROWS_AT_ONCE rows at most in this session.
+
+    By default a batch has 10,000 rows, which for long texts take hundreds of MB outside the heap
+    of an executor, for each of its tasks.
+    """
+    spark, name = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and not 0 < int(spark.conf.get(name)) <= ROWS_AT_ONCE:
+        spark.conf.set(name, str(ROWS_AT_ONCE))
+
+
 def map_slices(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = ROWS_AT_ONCE):
     """A function for mapInArrow that calls `fn` on slices of at most `rows` rows, so that memory follows the slice."""
 
+    small_batches()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, rows):

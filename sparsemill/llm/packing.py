@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +47,8 @@ class ByteBpe:
         import re
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.no_truncation()
-        self.slow.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as file:
             vocab = json.load(file)["model"]["vocab"]
         byte_of = {c: b for b, c in byte_letters().items()}
@@ -59,6 +57,16 @@ class ByteBpe:
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=split, mergeable_ranks=ranks, special_tokens={})
         self.plain = re.compile(self.PLAIN)
 
+    @cached_property
+    def slow(self):
+        """The tokenizers library's, loaded when a text needs it: many workers never do."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def ids(self, text: str) -> np.ndarray:
         if self.SPECIAL not in text and self.plain.fullmatch(text):
             return self.fast.encode_to_numpy(text, disallowed_special=())
