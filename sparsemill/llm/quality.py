@@ -9,7 +9,7 @@ the posterior probability that it is good is high enough, not if it passes every
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +56,11 @@ RULES = (
     Rule("word_length", "word_chars / greatest(n_words, 1)", (3.2, 6.1)),
     Rule("plain_words", "n_plain / greatest(n_words, 1)", (0.7, NEVER), (0.9, 1)),
 )
+#: Words of a window in which distinct words are counted.
+DISTINCT_WINDOW = 500
+#: The rules of `keep_good`. The share of distinct words falls with the length of any text, so it is taken
+#: as the mean over windows of the whole text; the query op2 keeps to RULES, as its SQL does.
+STAGE_RULES = tuple(replace(r, value="n_window_distinct / greatest(n_words, 1)") if r.name == "few_words" else r for r in RULES)
 #: A plain word: letters, maybe one mark at the end.
 PLAIN_WORD = r"^[\p{L}]+[.,;:!?]?\z"
 
@@ -86,6 +91,12 @@ def repeated_words(words: Column, window: int = WINDOW_WORDS) -> Column:
     return F.when(F.size(words) <= window, 0).otherwise(found)
 
 
+def window_distinct(words: Column, window: int = DISTINCT_WINDOW) -> Column:
+    """The distinct words of each window of `words`, windows following one another, summed up."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(window))
+    return F.aggregate(starts, F.lit(0), lambda n, i: n + F.size(F.array_distinct(F.slice(words, i, window))))
+
+
 def counted(docs: DataFrame, keep: list[Column]) -> DataFrame:
     """`keep`, then the counts that the contract names and those that rules use besides. A null text is empty.
 
@@ -110,6 +121,7 @@ def counted(docs: DataFrame, keep: list[Column]) -> DataFrame:
         F.size("_lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"),
         F.size(F.filter("_words", lambda w: w.rlike(PLAIN_WORD))).cast("long").alias("n_plain"),
+        window_distinct(F.col("_words")).cast("long").alias("n_window_distinct"),
         F.monotonically_increasing_id().alias("_row"),
     )
 
@@ -118,9 +130,9 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
 
 
-def votes(counts: DataFrame) -> DataFrame:
+def votes(counts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts with `votes`, the rules' votes in order."""
-    return counts.withColumn("votes", F.array(*[r.vote().cast("int") for r in RULES]))
+    return counts.withColumn("votes", F.array(*[r.vote().cast("int") for r in rules]))
 
 
 @dataclass
@@ -195,7 +207,7 @@ def judge(voted: DataFrame, model: Model, keep_from: float = KEEP_FROM) -> DataF
 
 def keep_good(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """The documents that are kept, with their columns. The votes are counted in one pass and judged in another; no text is shuffled or written."""
-    voted = votes(counted(docs, [F.struct(*[docs[c] for c in docs.columns])]))
+    voted = votes(counted(docs, [F.struct(*[docs[c] for c in docs.columns])]), STAGE_RULES)
     judged = judge(voted, fit(voted.select("votes")), keep_from)
     return judged.where("kept AND _row >= 0").select("_keep0.*")
 
@@ -206,7 +218,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     A null or empty text has no words and fails; repeated rows each have their row and vote each;
     an empty table gives no rows; other columns of the input are not read.
     """
-    voted = materialize(votes(counted(documents(spark, sf_dir), [F.col("doc_id").cast("long")])).drop("_row"), "votes")
+    voted = materialize(votes(counted(documents(spark, sf_dir), [F.col("doc_id").cast("long")])).drop("_row", "n_window_distinct"), "votes")
     judged = judge(voted, fit(voted))
     return judged.select(F.col("_keep0").alias("doc_id"), *BASE, "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
