@@ -2,7 +2,8 @@
 
 The network is written in numpy: characters are embedded, a convolution runs over the candidate and
 the text around it, and maxima and means over the candidate and over its context lead to one
-probability. It is trained on labelled findings that a seeded rule makes - secrets of many shapes,
+probability. Of a candidate that is longer than what it sees at once, windows cover the whole, and
+the highest probability counts. It is trained on labelled findings that a seeded rule makes - secrets of many shapes,
 and look-alikes such as checksums, paths, identifiers and placeholders - and scaled on a part that
 it wasn't trained on. The threshold is the highest that keeps the recall asked for on that part.
 """
@@ -13,7 +14,9 @@ import hashlib
 import random
 import re
 import string
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,8 @@ from .common import documents, map_slices
 
 #: Characters that the network sees before, in and after a candidate.
 BEFORE, INSIDE, AFTER = 24, 40, 8
+#: Characters from one window of a long candidate to the next, and windows that are scored at once.
+WINDOW_STEP, WINDOWS_AT_ONCE = 10, 1024
 EMBEDDED, FILTERS, WIDTH = 10, 24, 5
 FINDINGS, HELD_BACK, EPOCHS, BATCH, STEP = 6000, 0.3, 5, 64, 0.005
 RECALL = 0.98
@@ -81,14 +86,25 @@ _IN = np.zeros(LENGTH, bool)
 _IN[BEFORE : BEFORE + INSIDE] = True
 
 
-def encode(text: str, start: int, end: int) -> list[int]:
-    """The codes of the context before, of the candidate and of the context after. Of a long candidate, both ends."""
+def encode(text: str, start: int, end: int, window: int | None = None) -> list[int]:
+    """The codes of the context before, of the candidate and of the context after. Of a long candidate, both ends, or what is seen from `window` on."""
     before = _codes(text[max(0, start - BEFORE) : start])
-    inside = _codes(text[start:end] if end - start <= INSIDE else text[start : start + INSIDE // 2] + text[end - INSIDE // 2 : end])
+    if window is not None:
+        inside = _codes(text[window : min(window + INSIDE, end)])
+    else:
+        inside = _codes(text[start:end] if end - start <= INSIDE else text[start : start + INSIDE // 2] + text[end - INSIDE // 2 : end])
     after = _codes(text[end : end + AFTER])
     return [0] * (BEFORE - len(before)) + before + inside + [0] * (INSIDE - len(inside)) + after + [0] * (AFTER - len(after))
 
 
+def views(text: str, start: int, end: int) -> Iterator[list[int]]:
+    """All that the network sees of a candidate: its codes, and of a long one those of windows that cover it."""
+    yield encode(text, start, end)
+    if end - start > INSIDE:
+        for window in [*range(start, end - INSIDE, WINDOW_STEP), end - INSIDE]:
+            yield encode(text, start, end, window)
+
+
 class Network:
     """Embedding, convolution, rectifier, maximum and mean over the candidate and maximum over its context, logistic unit."""
 
@@ -148,6 +164,18 @@ class Network:
                     second[name] = 0.999 * second[name] + 0.001 * g * g
                     self.p[name] = self.p[name] - STEP * (first[name] / (1 - 0.9**t)) / (np.sqrt(second[name] / (1 - 0.999**t)) + 1e-8)
 
+    def highest(self, candidates: Iterable[Iterable[list[int]]]) -> np.ndarray:
+        """The highest logit over the views of each candidate. Views are made as they are scored, so that memory doesn't follow the longest candidate."""
+        every = ((k, codes) for k, seen in enumerate(candidates) for codes in seen)
+        found: list[float] = []
+        while part := list(islice(every, WINDOWS_AT_ONCE)):
+            for (k, _), z in zip(part, self.logits(np.array([codes for _, codes in part])).tolist(), strict=True):
+                if k == len(found):
+                    found.append(z)
+                else:
+                    found[k] = max(found[k], z)
+        return np.array(found)
+
     def calibrate(self, codes: np.ndarray, labels: np.ndarray, recall: float = RECALL) -> None:
         """Scale and shift the logits to likelihood on findings that weren't trained on; then the highest threshold with that recall."""
         z = self.logits(codes)
@@ -160,8 +188,11 @@ class Network:
         of_secrets = np.sort(self.probability(codes[labels == 1]))
         self.threshold = float(of_secrets[int((1 - recall) * len(of_secrets))])
 
+    def scaled(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.offset, -500, 500)))
+
     def probability(self, codes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(codes) + self.offset, -500, 500)))
+        return self.scaled(self.logits(codes))
 
 
 @dataclass
@@ -250,11 +281,7 @@ def scan(texts: list[str], net: Network) -> list[list[tuple[int, int, int, float
     """(start, kind, end, probability) of the secrets in each text, by start, kind and end. Base spans stay, whatever their score."""
     base = [base_spans(t) for t in texts]
     every = [b + added_candidates(t, b) for t, b in zip(texts, base, strict=True)]
-    codes = [encode(t, s, e) for t, spans in zip(texts, every, strict=True) for s, _, e in spans]
-    scores: list[float] = []
-    for k in range(0, len(codes), 1024):
-        scores += net.probability(np.array(codes[k : k + 1024])).tolist()
-    scored = iter(scores)
+    scored = iter(net.scaled(net.highest(views(t, s, e) for t, spans in zip(texts, every, strict=True) for s, _, e in spans)).tolist())
     found = [[(*span, next(scored)) for span in spans] for spans in every]
     return [sorted(x for x in spans if x[1] < len(BASE) or x[3] >= net.threshold) for spans in found]
 
