@@ -146,9 +146,9 @@ def viterbi(scores: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
     """The best path over rows of scores, where a change of column costs `penalty`."""
     total = scores.sum(axis=0)
     best = int(total.argmax())
-    # The best single column is the best path if no run of rows gains more than a switch in any other column.
+    # The best single column is the best path if no run of rows gains more than half a switch in any other column: a path without it may have two such runs for one switch.
     ahead = np.concatenate((np.zeros((1, scores.shape[1])), np.cumsum(scores - scores[:, [best]], axis=0)))
-    if (ahead - np.minimum.accumulate(ahead, axis=0)).max() <= penalty:
+    if 2 * (ahead - np.minimum.accumulate(ahead, axis=0)).max() <= penalty:
         return np.full(len(scores), best)
     rows = scores.tolist()  # plain numbers are faster than arrays of a few
     at, back = rows[0], []
