@@ -1,15 +1,17 @@
 """Best-fit packing of tokenised documents by exact-complement hashing.
 
 The plan is made on the histogram of piece lengths, which has at most `capacity` entries however
-large the corpus is. Sums of one, two and three lengths are indexed; the combination that exactly
-fills the gap of the longest waiting piece is consumed as often as its lengths are available, and
-what no combination fills is placed best-fit. The plan says, for the r-th piece of each length,
-which sequence and offset it takes; pieces learn their rank from counts by bucket and length.
+large the corpus is. Sums of one, two and three lengths are indexed once (`Sums`); the combination
+that exactly fills the gap of the longest waiting piece is looked up there and consumed as often as
+its lengths are available, and what no combination fills is placed best-fit. The plan says, for the
+r-th piece of each length, which sequence and offset it takes; pieces learn their rank from counts
+by bucket and length.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -28,6 +30,9 @@ LEAST_BUCKETS = 256
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
+#: Characters of a text that are encoded at once, where its words allow it; a word is never cut.
+PART_CHARS = 1 << 20
+
 _encoders: dict[str, object] = {}
 
 
@@ -35,12 +40,16 @@ class ByteBpe:
     """Ids of whole texts as the tokenizers library gives them for a byte-level BPE file.
 
     Texts of the letters and marks in PLAIN go through tiktoken with the same vocabulary, which is
-    faster; both libraries split those alike. Any other text goes through tokenizers itself.
+    faster; both libraries split those alike. Any other text goes through tokenizers itself, and so
+    does white space so long that tiktoken's pattern gives up on it. A long text goes in parts that
+    end where a letter or digit comes before a blank: no word goes over such a place.
     """
 
     #: ASCII, Latin letters and common punctuation, where both libraries' Unicode tables agree.
     PLAIN = r"[\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧€]*"
     SPECIAL = "<|endoftext|>"
+    LONG_SPACE = r"\s{2000}"
+    BREAK = r"(?<=[^\W_]) "
 
     def __init__(self, path: str):
         import json
@@ -55,7 +64,7 @@ class ByteBpe:
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token != self.SPECIAL}
         split = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # the split of byte-level BPE, a fixed value
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=split, mergeable_ranks=ranks, special_tokens={})
-        self.plain = re.compile(self.PLAIN)
+        self.plain, self.long_space, self.break_ = map(re.compile, (self.PLAIN, self.LONG_SPACE, self.BREAK))
 
     @cached_property
     def slow(self):
@@ -68,7 +77,19 @@ class ByteBpe:
         return found
 
     def ids(self, text: str) -> np.ndarray:
-        if self.SPECIAL not in text and self.plain.fullmatch(text):
+        if len(text) <= PART_CHARS:
+            return self._part(text)
+        return np.concatenate([self._part(p) for p in self.parts(text)])
+
+    def parts(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > PART_CHARS and (found := self.break_.search(text, at + PART_CHARS)):
+            yield text[at : found.start()]
+            at = found.start()
+        yield text[at:]
+
+    def _part(self, text: str) -> np.ndarray:
+        if self.SPECIAL not in text and self.plain.fullmatch(text) and not self.long_space.search(text):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.asarray(self.slow.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
@@ -133,39 +154,46 @@ class Plan:
         return dict(zip(("length", "first", "base", "offset", "repeats"), table.T, strict=True))
 
 
-def complement(gap: int, avail: np.ndarray, most: int = 3, even: bool = True) -> list[int] | None:
-    """Up to `most` (one, two or three) available lengths whose sum is `gap`; pairs of like lengths first if `even`, else of unlike ones."""
-    if gap < 1:
-        return None
-    if avail[gap]:
-        return [gap]
+class Sums:
+    """Which lengths make each sum: pairs[s] has the smaller of two lengths with the sum s, triples[s] the greatest of three.
+
+    Made once of all lengths that occur; whether they are still there is looked up in the counts.
+    """
 
-    def pair(total: int, left: np.ndarray) -> list[int] | None:
-        low = np.arange(1, total // 2 + 1)
-        good = low[(left[low] > 0) & (left[total - low] > 0) & ((low * 2 != total) | (left[low] > 1))]
+    def __init__(self, have: np.ndarray, capacity: int):
+        there = np.zeros(capacity + 1, bool)
+        there[have] = True
+        self.pairs = [have[(2 * have <= s) & there[np.maximum(s - have, 0)]] for s in range(capacity + 1)]
+        paired = np.array([p.size > 0 for p in self.pairs])
+        self.triples = [have[(have < s) & paired[np.maximum(s - have, 0)]][::-1] for s in range(capacity + 1)]
+
+    def pair(self, total: int, avail: np.ndarray, even: bool) -> list[int] | None:
+        """Two available lengths: the most alike if `even`, else the least."""
+        low = self.pairs[total]
+        good = low[(avail[low] > 0) & (avail[total - low] > 0) & ((low * 2 != total) | (avail[low] > 1))]
         if not good.size:
             return None
         chosen = int(good[-1] if even else good[0])
         return [total - chosen, chosen]
 
-    if most < 2:
-        return None
-    if found := pair(gap, avail):
-        return found
-    if most < 3:
+    def complement(self, gap: int, avail: np.ndarray, most: int = 3, even: bool = True) -> list[int] | None:
+        """Up to `most` (one, two or three) available lengths whose sum is `gap`."""
+        if gap < 1:
+            return None
+        if avail[gap]:
+            return [gap]
+        if most < 2:
+            return None
+        if found := self.pair(gap, avail, even):
+            return found
+        for a in self.triples[gap] if most > 2 else ():
+            if avail[a]:
+                avail[a] -= 1
+                found = self.pair(int(gap - a), avail, even)
+                avail[a] += 1
+                if found:
+                    return [int(a), *found]
         return None
-    sums = np.zeros(gap + 1, bool)  # the sums that two lengths make
-    have = np.flatnonzero(avail[: gap + 1])
-    for a in have:
-        both = a + have
-        sums[both[both <= gap]] = True
-    for a in have[::-1]:
-        if a < gap and sums[gap - a]:
-            left = avail.copy()
-            left[a] -= 1
-            if found := pair(int(gap - a), left):
-                return [int(a), *found]
-    return None
 
 
 def pack(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
@@ -178,11 +206,12 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     for length in counts:
         if not 1 <= length <= capacity:
             raise ValueError(f"a piece of {length} tokens doesn't fit into {capacity}")
-    plans = (_pack(counts, capacity, most, even) for most, even in ((1, True), (2, True), (2, False), (3, True), (3, False)))
+    sums = Sums(np.array(sorted(length for length, n in counts.items() if n), np.int64), capacity)
+    plans = (_pack(counts, capacity, sums, most, even) for most, even in ((1, True), (2, True), (2, False), (3, True), (3, False)))
     return min(plans, key=lambda p: p.sequences)
 
 
-def _pack(counts: dict[int, int], capacity: int, most: int, even: bool) -> Plan:
+def _pack(counts: dict[int, int], capacity: int, sums: Sums, most: int, even: bool) -> Plan:
     avail = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         avail[length] += n
@@ -194,7 +223,7 @@ def _pack(counts: dict[int, int], capacity: int, most: int, even: bool) -> Plan:
         for opener in range(capacity - 1, 0, -1):
             while avail[opener]:
                 avail[opener] -= 1
-                found = complement(capacity - opener, avail, up_to, even)
+                found = sums.complement(capacity - opener, avail, up_to, even)
                 avail[opener] += 1
                 if not found:
                     break
@@ -257,25 +286,28 @@ def pack_pieces(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pack rows with a `length`, (doc_id, piece) and a checksum into sequences; returns them with sequence_id and offset.
 
     Ranks within a length come from the counts of (bucket, length), a bucket being a hash of the
-    piece's key: no task sees all the pieces of one length, however frequent it is. Only the
-    histogram of lengths, at most `capacity` rows, comes to the driver.
+    place at which the piece was written: no task sees all the pieces of one length, however
+    frequent it is, and be they copies of one row. Only the histogram of lengths, at most `capacity`
+    rows, comes to the driver.
     """
-    held = materialize(cut_pieces, "pieces")
+    held = materialize(cut_pieces.withColumn("place", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.count("*").alias("n")).collect()}
     buckets = max(LEAST_BUCKETS, sum(counts.values()) // BUCKET_ROWS)
-    held = held.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    held = held.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = held.groupBy("bucket", "length").agg(F.count("*").alias("n")).select("bucket", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    local = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "start", "ids_crc32"))
+    local = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("place"))
     ranked = held.withColumn("local", local).join(offsets, ["bucket", "length"]).withColumn("rank", F.col("earlier") + F.col("local") - 1)
-    return place(ranked.drop("bucket", "local", "earlier").select(*[f.name for f in cut_pieces.schema], "rank"), pack(counts, capacity))
+    return place(ranked.select(*[f.name for f in cut_pieces.schema], "rank"), pack(counts, capacity))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens, a row for each piece.
 
-    A null or empty text is one piece with the end id alone; repeated rows are packed each; an
-    empty table gives no rows; other columns of the input are not read.
+    A null or empty text is one piece with the end id alone; a very long text is encoded whole, in
+    parts of about a million characters that end between words, and cut into pieces from its end;
+    pieces of equal length take their places in the order in which they were written; repeated rows
+    are packed each; an empty table gives no rows; other columns of the input are not read.
     """
     import public_tokenizers
 
