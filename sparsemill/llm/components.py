@@ -57,3 +57,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     low = _least(edges)
     moved = edges.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return moved.unionByName(low.select("u", F.col("low").alias("v"))).where("u <> v").distinct()
+
+
+#: Parts that the nodes of one component are dealt to.
+PARTS = 128
+
+
+def with_least(nodes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """`key` and component_id of each node (key, least), where component_id is the smallest `least` of its component in `found` (node, root).
+
+    A component may hold a third of all nodes, so neither its minimum nor the way back to its nodes
+    goes by the root alone: its nodes are dealt to PARTS parts, each with a minimum of its own.
+    Written, so that a join with very many rows of one key can be split.
+    """
+    members = found.select(F.col("node").alias(key), "root").unionByName(found.select(F.col("root").alias(key), "root").distinct())
+    linked = materialize(members.join(nodes.select(key, "least"), key).withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS))), "linked")
+    each = linked.groupBy("root", "part").agg(F.min("least").alias("least"))
+    whole = each.groupBy("root").agg(F.min("least").alias("component_id"), F.collect_list("part").alias("parts")).select("root", "component_id", F.explode("parts").alias("part"))
+    of_key = linked.select(key, "root", "part").join(whole, ["root", "part"]).select(key, "component_id")
+    return materialize(nodes.select(key, "least").join(of_key, key, "left").select(key, F.coalesce("component_id", "least").alias("component_id")), "components")
