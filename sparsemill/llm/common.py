@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import materialize
+from ..shared import discard, materialize
 
-__all__ = ["array_of", "crc_mod", "documents", "let", "long_sql", "map_slices", "materialize", "place_among", "small_batches"]
+__all__ = ["array_of", "crc_mod", "discard", "documents", "let", "long_sql", "map_slices", "materialize", "place_among", "small_batches"]
 
 #: Documents handed at once to a batch function, whatever Arrow's own batch size is.
 ROWS_AT_ONCE = 512

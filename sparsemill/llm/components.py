@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -28,9 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (u long, v long) that isn't a root: the smallest node that it reaches.
 
     Alternating large-star and small-star steps: each node hands its smallest neighbour to the
-    others, so the number of rounds follows the logarithm of the longest path. Minima are summed
-    up before each shuffle, and a node with very many neighbours is a skewed join, which adaptive
-    execution splits. Each round is written to the shared folder, which ends its lineage.
+    others, so the number of rounds follows the logarithm of the longest path. A node may have very
+    many neighbours, so they are dealt to PARTS parts. Each round is written to the shared folder,
+    which ends its lineage, and the round before it is removed.
     """
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     before = None
@@ -38,31 +38,43 @@ def components(edges: DataFrame) -> DataFrame:
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if not mark["n"] or mark == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = mark
+        before, last = mark, edges
         edges = materialize(_small_star(_large_star(edges)), "edges")
+        discard(last)
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("low"))
+#: Parts that the neighbours of one node, and the nodes of one component, are dealt to.
+PARTS = 128
+
+
+def _dealt(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+
+
+def _least(dealt: DataFrame) -> DataFrame:
+    """u, the smallest of it and its neighbours, and the parts that its neighbours are in."""
+    each = dealt.groupBy("u", "part").agg(F.min("v").alias("v"))
+    return each.groupBy("u").agg(F.least("u", F.min("v")).alias("low"), F.collect_list("part").alias("parts"))
+
+
+def _to_parts(low: DataFrame) -> DataFrame:
+    return low.select("u", "low", F.explode("parts").alias("part"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours go to the smallest of them all."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+    both = _dealt(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    return both.where("v > u").join(_to_parts(_least(both)), ["u", "part"]).select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours go to the smallest of them."""
-    low = _least(edges)
-    moved = edges.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    dealt = _dealt(edges)
+    low = _least(dealt)
+    moved = dealt.join(_to_parts(low), ["u", "part"]).where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return moved.unionByName(low.select("u", F.col("low").alias("v"))).where("u <> v").distinct()
 
 
-#: Parts that the nodes of one component are dealt to.
-PARTS = 128
-
-
 def with_least(nodes: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """`key` and component_id of each node (key, least), where component_id is the smallest `least` of its component in `found` (node, root).
 
