@@ -9,7 +9,7 @@ the posterior probability that it is good is high enough, not if it passes every
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +50,7 @@ NEVER = float("inf")
 RULES = (
     Rule("repetition", "n_repeat_words / greatest(n_words, 1)", (-NEVER, 0.2)),
     Rule("same_lines", "n_dup_lines / greatest(n_lines, 1)", (-NEVER, 0.4)),
-    Rule("few_words", "n_distinct / greatest(n_words, 1)", (0.4, NEVER)),
+    Rule("few_words", "n_distinct / greatest(n_words, 1)", (0.4, NEVER)),  # within windows: over a whole text the share falls with the length
     Rule("capitals", "n_capitals / greatest(word_chars, 1)", (-NEVER, 0.3)),
     Rule("symbols", "n_symbols / greatest(word_chars, 1)", (-NEVER, 0.05)),
     Rule("word_length", "word_chars / greatest(n_words, 1)", (3.2, 6.1)),
@@ -58,9 +58,6 @@ RULES = (
 )
 #: Words of a window in which distinct words are counted.
 DISTINCT_WINDOW = 500
-#: The rules of `keep_good`. The share of distinct words falls with the length of any text, so it is taken
-#: as the mean over windows of the whole text; the query op2 keeps to RULES, as its SQL does.
-STAGE_RULES = tuple(replace(r, value="n_window_distinct / greatest(n_words, 1)") if r.name == "few_words" else r for r in RULES)
 #: A plain word: letters, maybe one mark at the end.
 PLAIN_WORD = r"^[\p{L}]+[.,;:!?]?\z"
 
@@ -98,11 +95,7 @@ def window_distinct(words: Column, window: int = DISTINCT_WINDOW) -> Column:
 
 
 def counted(docs: DataFrame, keep: list[Column]) -> DataFrame:
-    """`keep`, then the counts that the contract names and those that rules use besides. A null text is empty.
-
-    A filter that refers to `_row` stays above the counts; any other is moved below them by the
-    optimizer, which then counts anew for each place where the filter's condition has a count.
-    """
+    """`keep`, then the counts that the contract names and those that rules use besides. A null text is empty."""
     text = F.coalesce(F.col("_text"), F.lit(""))
     gone = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
     words = F.array_remove(F.split(text, SPACE), "")
@@ -119,10 +112,8 @@ def counted(docs: DataFrame, keep: list[Column]) -> DataFrame:
         repeated_words(F.col("_words")).cast("long").alias("n_repeat_words"),
         F.col("n_capitals").cast("long").alias("n_capitals"),
         F.size("_lines").cast("long").alias("n_lines"),
-        F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"),
+        window_distinct(F.col("_words")).cast("long").alias("n_distinct"),
         F.size(F.filter("_words", lambda w: w.rlike(PLAIN_WORD))).cast("long").alias("n_plain"),
-        window_distinct(F.col("_words")).cast("long").alias("n_window_distinct"),
-        F.monotonically_increasing_id().alias("_row"),
     )
 
 
@@ -130,9 +121,9 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
 
 
-def votes(counts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def votes(counts: DataFrame) -> DataFrame:
     """Counts with `votes`, the rules' votes in order."""
-    return counts.withColumn("votes", F.array(*[r.vote().cast("int") for r in rules]))
+    return counts.withColumn("votes", F.array(*[r.vote().cast("int") for r in RULES]))
 
 
 @dataclass
@@ -206,19 +197,21 @@ def judge(voted: DataFrame, model: Model, keep_from: float = KEEP_FROM) -> DataF
 
 
 def keep_good(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The documents that are kept, with their columns. The votes are counted in one pass and judged in another; no text is shuffled or written."""
-    voted = votes(counted(docs, [F.struct(*[docs[c] for c in docs.columns])]), STAGE_RULES)
-    judged = judge(voted, fit(voted.select("votes")), keep_from)
-    return judged.where("kept AND _row >= 0").select("_keep0.*")
+    """The documents that are kept, with their columns. Each is counted once and written with its votes, which the model is fitted on; then they are judged."""
+    voted = votes(counted(docs, [F.struct(*[docs[c] for c in docs.columns])]))
+    held = materialize(voted.select("_keep0", base_failed().alias("base_failed"), "votes"), "voted")
+    return held.where(~F.col("base_failed") & (fit(held).posterior(F.col("votes")) >= keep_from)).select("_keep0.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and final verdict of every document.
 
-    A null or empty text has no words and fails; repeated rows each have their row and vote each;
-    an empty table gives no rows; other columns of the input are not read.
+    A null or empty text has no words and fails; a very long text is counted whole, its distinct
+    words by windows, so that no rule goes by its length; a value at a rule's bound is good; repeated
+    rows each have their row and vote each; an empty table gives no rows; other columns of the input
+    are not read.
     """
-    voted = materialize(votes(counted(documents(spark, sf_dir), [F.col("doc_id").cast("long")])).drop("_row", "n_window_distinct"), "votes")
+    voted = materialize(votes(counted(documents(spark, sf_dir), [F.col("doc_id").cast("long")])), "votes")
     judged = judge(voted, fit(voted))
     return judged.select(F.col("_keep0").alias("doc_id"), *BASE, "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
@@ -247,7 +240,7 @@ repeats AS (SELECT rid, i FROM windows WHERE (rid, w) IN (SELECT (rid, w) FROM w
 covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM repeats, range({WINDOW_WORDS}) t(k) GROUP BY rid),
 counts AS (SELECT rid, doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
-  len(regexp_extract_all(text, '\p{{Lu}}')) AS n_capitals, len(lines) AS n_lines, len(list_distinct(words)) AS n_distinct, len(list_filter(words, lambda w: regexp_full_match(w, '[\p{{L}}]+[.,;:!?]?'))) AS n_plain
+  len(regexp_extract_all(text, '\p{{Lu}}')) AS n_capitals, len(lines) AS n_lines, coalesce(list_sum(list_transform(range(0, len(words), {DISTINCT_WINDOW}), lambda i: len(list_distinct(words[i + 1:i + {DISTINCT_WINDOW}])))), 0)::BIGINT AS n_distinct, len(list_filter(words, lambda w: regexp_full_match(w, '[\p{{L}}]+[.,;:!?]?'))) AS n_plain
   FROM parts LEFT JOIN covered USING (rid)),
 voted AS (SELECT *, [{", ".join(map(vote, RULES))}] AS v FROM counts),
 patterns AS (SELECT v, count(*)::DOUBLE AS n FROM voted GROUP BY v),

@@ -139,7 +139,7 @@ def test_op4(spark, folder, docs):
             assert offset == ends
             ends += length
         assert ends <= 1024
-    assert len(placed) <= sum(w[3] for w in want) / 1024 * 1.05 + 1
+    assert len(placed) <= sum(w[3] for w in want) / 1024 * 1.01 + 2
 
 
 def test_op5(spark, folder, docs):
@@ -274,7 +274,7 @@ def plain_votes(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     held = {
         "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup, "n_repeat_words": n_repeat, "n_capitals": len(regex.findall(r"\p{Lu}", text)),
-        "n_lines": len([x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]), "n_distinct": len(set(words)), "n_plain": sum(bool(regex.fullmatch(r"\p{L}+[.,;:!?]?", w)) for w in words),
+        "n_lines": len([x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]), "n_distinct": sum(len(set(words[k : k + 500])) for k in range(0, n_words, 500)), "n_plain": sum(bool(regex.fullmatch(r"\p{L}+[.,;:!?]?", w)) for w in words),
     }
     votes = []
     for rule in quality.RULES:
@@ -283,6 +283,11 @@ def plain_votes(text):
     return tuple(votes), failed
 
 
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
 def test_pipeline_against_a_plain_version(spark, tmp_path):
     import corpus_pipeline
     from cases import german, prose
@@ -301,12 +306,12 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
     judged = quality.estimate(dict(sorted(Counter(v for v, _ in voted).items())))
     docs = [d for d, (v, failed) in zip(docs, voted, strict=True) if not failed and judged.good(v) >= 0.5]
 
-    prints, group = [plain_print(t) for _, t in docs], list(range(len(docs)))
-    for _ in docs:
-        for a, p in enumerate(prints):
-            for b, q in enumerate(prints):
-                if docs[a][0] is not None and docs[b][0] is not None and (p ^ q).bit_count() <= 4:
-                    group[a] = group[b] = min(group[a], group[b])
+    sets, group = [plain_shingles(t) for _, t in docs], list(range(len(docs)))
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if docs[a][0] is not None and docs[b][0] is not None and (x == y or 5 * len(x & y) >= 4 * len(x | y)):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
     least = {}
     for g, d in zip(group, docs, strict=True):
         if d[0] is not None:
