@@ -315,17 +315,6 @@ def test_secrets_beyond_the_base():
     assert secrets.masked("a SECRET b SECRET2", [(2, 0, 8, 1.0), (4, 1, 7, 1.0), (11, 0, 18, 1.0)]) == "a [secret] b [secret]"
 
 
-def test_grammar_weighs_clauses():
-    reader = toxicity.Reader({"idiot": 4.0, "morons*": 4.0, "fool": 4.0})
-    weight = lambda t: sum(reader.clauses(t)[0])
-    assert weight("you idiot") > weight("an idiot") > weight("not an idiot") > 0
-    assert weight("she said idiot") < weight("an idiot") and weight('he "idiot" ok') < weight("he idiot ok")
-    assert weight("not good. an idiot") == weight("an idiot")  # a negation ends with its clause
-    assert weight("i will kill you") == 0 and weight("you i will kill") > 0
-    assert weight("moronsly") == 4 and weight("moron") == 0 and weight("") == 0
-    assert weight("idiot " * 100) == toxicity.CLAUSE_MOST
-
-
 def test_composition_is_the_product():
     a, b = toxicity.within(toxicity.NEGATION, 2, 0.5), toxicity.between_quotes(0.1)
     both = a.compose(b)
