@@ -3,9 +3,11 @@
 The network is written in numpy: characters are embedded, a convolution runs over the candidate and
 the text around it, and maxima and means over the candidate and over its context lead to one
 probability. Of a candidate that is longer than what it sees at once, windows cover the whole, and
-the highest probability counts. It is trained on labelled findings that a seeded rule makes - secrets of many shapes,
-and look-alikes such as checksums, paths, identifiers and placeholders - and scaled on a part that
-it wasn't trained on. The threshold is the highest that keeps the recall asked for on that part.
+the highest probability counts. It is trained on labelled findings: a seeded rule writes snippets
+with secrets of many shapes, and with look-alikes such as checksums, paths, identifiers and
+placeholders, and what the patterns propose there is labelled by whether it holds a secret. It is
+scaled on a part that it wasn't trained on, and the threshold is the highest that keeps the recall
+asked for on that part.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -26,26 +29,34 @@ from pyspark.sql import functions as F
 from .common import documents, map_slices
 
 #: Characters that the network sees before, in and after a candidate.
-BEFORE, INSIDE, AFTER = 24, 40, 8
+BEFORE, INSIDE, AFTER = 32, 40, 8
 #: Characters from one window of a long candidate to the next, and windows that are scored at once.
 WINDOW_STEP, WINDOWS_AT_ONCE = 10, 1024
-EMBEDDED, FILTERS, WIDTH = 10, 24, 5
-FINDINGS, HELD_BACK, EPOCHS, BATCH, STEP = 6000, 0.3, 5, 64, 0.005
+EMBEDDED, FILTERS, WIDTH = 10, 32, 5
+FINDINGS, HELD_BACK, EPOCHS, BATCH, STEP = 10_000, 0.3, 5, 64, 0.005
 RECALL = 0.98
 #: How strongly calibration holds the scale to 1 and the shift to 0: findings that are told apart wholly would make both infinite.
 HELD_TO_UNIT = 20.0
 MASK = "[secret]"
 
 BASE = ("assign", "access", "hex")
-KINDS = (*BASE, "token", "login", "pem")
+KINDS = (*BASE, "token", "login", "pem", "value")
 
 _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", re.ASCII)
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_LOGIN = re.compile(r"://[^\s:/@]{1,64}:([^\s:/@]{4,64})@")
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,40}PRIVATE KEY-----")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_LOGIN = re.compile(r"://[^\s:/@]+:([^\s/@]{4,})@")
+_KEY_MARK = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
+_KEY_BODY = re.compile(r"[A-Za-z0-9+/=\s:,.-]*")
+#: What follows a name and a sign, what is quoted, and what a request carries to say who makes it.
+_VALUES = (
+    re.compile(r"""(?<![A-Za-z0-9_./-])[A-Za-z_][A-Za-z0-9_.-]*+["']?[\x20\t]*(?:=>|:=|[:=])[\x20\t]*["']?(?!//)([^\s"'<>,;]{8,})"""),
+    re.compile(r"""["']([^\s"'<>]{12,})["']"""),
+    re.compile(r"(?<![A-Za-z])(?i:bearer|basic)\x20+([A-Za-z0-9._~+/=-]{8,})"),
+)
+_TELLING = re.compile(r"[^a-z.,:;!?()]")
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -61,48 +72,88 @@ def base_spans(text: str) -> list[Span]:
     return found + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
 
 
+def private_keys(text: str) -> Iterator[Span]:
+    """From the mark of each key's beginning to the mark of its end, or as far as what may be a key goes if that is missing."""
+    begun = None
+    for m in [*_KEY_MARK.finditer(text), None]:
+        if begun and (m is None or m[1] == "BEGIN"):
+            yield begun.start(), 5, _KEY_BODY.match(text, begun.end(), m.start() if m else len(text)).end()
+        elif begun:
+            yield begun.start(), 5, m.end()
+        begun = m if m and m[1] == "BEGIN" else None
+
+
 def added_candidates(text: str, base: list[Span]) -> list[Span]:
-    """Further places that may hold a secret, clear of the base spans and of each other."""
-    found = [(m.start(), 3, m.end()) for m in _TOKEN.finditer(text) if any(c in string.digits for c in m[0]) and any(c in string.ascii_letters for c in m[0])]
+    """Further places that may hold a secret, clear of the base spans. They may overlap each other."""
+    holds = lambda found, letters: not letters.isdisjoint(found)
+    found = {(m.start(), m.end()): 3 for m in _TOKEN.finditer(text) if holds(m[0], _DIGITS) and holds(m[0], _LETTERS)}
+    if ":" in text or "=" in text or '"' in text or "'" in text or "earer" in text or "asic" in text:
+        found |= {(m.start(1), m.end(1)): 6 for p in _VALUES for m in p.finditer(text) if _TELLING.search(m[1])}
     if "://" in text:
-        found += [(m.start(1), 4, m.end(1)) for m in _LOGIN.finditer(text)]
+        found |= {(m.start(1), m.end(1)): 4 for m in _LOGIN.finditer(text)}
     if "-----BEGIN" in text:
-        found += [(m.start(), 5, m.end()) for m in _PEM.finditer(text)]
-    taken, free = sorted((s, e) for s, _, e in base), []
-    for start, kind, end in sorted(found, key=lambda x: (x[0], -x[2])):
-        if not any(s < end and start < e for s, e in taken) and not any(s < end and start < e for s, _, e in free[-1:]):
-            free.append((start, kind, end))
-    return free
+        found |= {(s, e): k for s, k, e in private_keys(text)}
+    starts, ends = [], []  # the places that base spans take, as runs apart from each other
+    for s, _, e in sorted(base):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    at = lambda e: bisect_right(starts, e - 1) - 1  # noqa: E731  the last run that begins before e
+    return sorted((s, kind, e) for (s, e), kind in found.items() if at(e) < 0 or ends[at(e)] <= s)
+
+
+def apart(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+    """Of spans that overlap, the one that begins first, and of these the longest."""
+    found, end = [], 0
+    for span in sorted(spans, key=lambda x: (x[0], -x[2])):
+        if span[0] >= end:
+            found.append(span)
+            end = span[2]
+    return found
+
+
+_DIGITS, _LETTERS = frozenset(string.digits), frozenset(string.ascii_letters)
+#: A small alphabet: printable ASCII stands for itself, 1 is white space, 2 any other letter, 3 the rest; 0 is nothing.
+ALPHABET = ord("~") - 29 + 1
+_CODE = np.array([k - 29 if 33 <= k <= 126 else 1 if chr(k).isspace() else 3 for k in range(128)], np.uint8)
 
 
-def _codes(text: str) -> list[int]:
-    """A small alphabet: printable ASCII stands for itself, 1 is white space, 2 any other letter, 3 the rest; 0 is nothing."""
-    return [ord(c) - 29 if "!" <= c <= "~" else 1 if c.isspace() else 2 if c.isalpha() else 3 for c in text]
+def codes_of(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = _CODE[np.minimum(points, 127)]
+    if not text.isascii():
+        for p in np.unique(points[points > 127]).tolist():
+            codes[points == p] = 1 if chr(p).isspace() else 2 if chr(p).isalpha() else 3
+    return codes
 
 
-ALPHABET = ord("~") - 29 + 1
 LENGTH = BEFORE + INSIDE + AFTER
 _IN = np.zeros(LENGTH, bool)
 _IN[BEFORE : BEFORE + INSIDE] = True
 
 
-def encode(text: str, start: int, end: int, window: int | None = None) -> list[int]:
+def encode(codes: np.ndarray, start: int, end: int, window: int | None = None) -> np.ndarray:
     """The codes of the context before, of the candidate and of the context after. Of a long candidate, both ends, or what is seen from `window` on."""
-    before = _codes(text[max(0, start - BEFORE) : start])
+    out = np.zeros(LENGTH, np.uint8)
+    before, after = codes[max(0, start - BEFORE) : start], codes[end : end + AFTER]
+    out[BEFORE - len(before) : BEFORE] = before
     if window is not None:
-        inside = _codes(text[window : min(window + INSIDE, end)])
+        inside = codes[window : min(window + INSIDE, end)]
     else:
-        inside = _codes(text[start:end] if end - start <= INSIDE else text[start : start + INSIDE // 2] + text[end - INSIDE // 2 : end])
-    after = _codes(text[end : end + AFTER])
-    return [0] * (BEFORE - len(before)) + before + inside + [0] * (INSIDE - len(inside)) + after + [0] * (AFTER - len(after))
+        inside = codes[start:end] if end - start <= INSIDE else np.concatenate((codes[start : start + INSIDE // 2], codes[end - INSIDE // 2 : end]))
+    out[BEFORE : BEFORE + len(inside)] = inside
+    out[BEFORE + INSIDE : BEFORE + INSIDE + len(after)] = after
+    return out
 
 
-def views(text: str, start: int, end: int) -> Iterator[list[int]]:
+def views(codes: np.ndarray, start: int, end: int) -> Iterator[np.ndarray]:
     """All that the network sees of a candidate: its codes, and of a long one those of windows that cover it."""
-    yield encode(text, start, end)
+    yield encode(codes, start, end)
     if end - start > INSIDE:
         for window in [*range(start, end - INSIDE, WINDOW_STEP), end - INSIDE]:
-            yield encode(text, start, end, window)
+            yield encode(codes, start, end, window)
 
 
 class Network:
@@ -164,12 +215,12 @@ class Network:
                     second[name] = 0.999 * second[name] + 0.001 * g * g
                     self.p[name] = self.p[name] - STEP * (first[name] / (1 - 0.9**t)) / (np.sqrt(second[name] / (1 - 0.999**t)) + 1e-8)
 
-    def highest(self, candidates: Iterable[Iterable[list[int]]]) -> np.ndarray:
+    def highest(self, candidates: Iterable[Iterable[np.ndarray]]) -> np.ndarray:
         """The highest logit over the views of each candidate. Views are made as they are scored, so that memory doesn't follow the longest candidate."""
         every = ((k, codes) for k, seen in enumerate(candidates) for codes in seen)
         found: list[float] = []
         while part := list(islice(every, WINDOWS_AT_ONCE)):
-            for (k, _), z in zip(part, self.logits(np.array([codes for _, codes in part])).tolist(), strict=True):
+            for (k, _), z in zip(part, self.logits(np.stack([codes for _, codes in part])).tolist(), strict=True):
                 if k == len(found):
                     found.append(z)
                 else:
@@ -197,66 +248,107 @@ class Network:
 
 @dataclass
 class Finding:
+    """A candidate that the patterns propose in a snippet, and whether it holds a secret."""
+
     text: str
     start: int
     end: int
     secret: bool
 
 
-def findings(n: int = FINDINGS, seed: int = 42) -> list[Finding]:
-    """Labelled findings, half of them secrets, in prose of invented syllables."""
-    r = random.Random(seed)
-    syllables = ["the", "an", "re", "ti", "on", "ver", "la", "que", "sch", "mo", "er", "en", "ha", "st", "de", "í", "é", "ü"]
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
-    prose = lambda: " ".join(word() for _ in range(r.randint(1, 8)))
-    any_of = lambda letters, low, high: "".join(r.choice(letters) for _ in range(r.randint(low, high)))
-    mixed, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
-
-    def secret() -> tuple[str, str]:
-        value = r.choice(
+SYLLABLES = ("the", "an", "re", "ti", "on", "ver", "la", "que", "sch", "mo", "er", "en", "ha", "st", "de", "í", "é", "ü", "con", "per", "ment", "ing", "al", "us", "com", "tor", "wa", "low", "ly", "fo", "bri", "dun", "kel", "pos", "ten", "gra", "mi")
+SECRET_NAMES = ("password", "passwd", "pwd", "pass", "secret", "token", "api_key", "apikey", "api-key", "client_secret", "auth", "auth_token", "access_key", "private_key", "credentials", "secret_access_key", "passphrase", "signing_key", "x-api-key", "db_password", "accountkey")
+PLAIN_NAMES = ("version", "path", "file", "date", "color", "title", "url", "host", "id", "uuid", "checksum", "commit", "license", "author", "size", "phone", "mail", "name", "level", "mode", "status", "type", "time", "address", "sha1", "md5", "etag", "revision", "digest", "request", "session", "order", "ref", "build", "image", "class", "key", "label", "note")
+LEADS = ("ghp_", "gho_", "sk_live_", "sk-", "rk_test_", "xoxb-", "xoxp-", "glpat-", "npm_", "pypi-", "AIza", "AKIA", "shpat_", "SG.")
+
+
+class Snippets:
+    """A seeded rule for snippets of prose and settings with one secret, or one look-alike, each."""
+
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+
+    def any_of(self, letters: str, low: int, high: int) -> str:
+        return "".join(self.r.choice(letters) for _ in range(self.r.randint(low, high)))
+
+    def word(self, low: int = 1, high: int = 4) -> str:
+        return "".join(self.r.choice(SYLLABLES) for _ in range(self.r.randint(low, high)))
+
+    def plain(self, low: int = 1, high: int = 4) -> str:
+        return self.word(low, high).replace("í", "i").replace("é", "e").replace("ü", "u")
+
+    def prose(self) -> str:
+        return " ".join(self.word() for _ in range(self.r.randint(1, 8)))
+
+    def strong(self) -> str:
+        """What looks like a secret of itself."""
+        mixed = string.ascii_letters + string.digits
+        return self.r.choice([lambda: self.any_of(mixed, 24, 64), lambda: self.any_of(mixed + "+/", 28, 60) + "=" * self.r.randint(0, 2), lambda: self.any_of(mixed + "_-", 24, 48), lambda: "eyJ" + self.any_of(mixed + "_-", 24, 60), lambda: self.r.choice(LEADS) + self.any_of(mixed, 16, 40), lambda: self.any_of(string.ascii_lowercase, 2, 5) + self.r.choice("_-.") + self.any_of(mixed, 24, 44)])()
+
+    def weak(self) -> str:
+        """What is a secret for its name or its place."""
+        mixed = string.ascii_letters + string.digits
+        return self.r.choice(
             [
-                lambda: any_of(mixed, 20, 64),
-                lambda: any_of(mixed + "+/", 24, 60) + "=" * r.randint(0, 2),
-                lambda: any_of(mixed + "_-", 20, 48),
-                lambda: any_of(hexa, 24, 64),
-                lambda: r.choice(["ghp_", "gho_", "sk_live_", "sk-", "xoxb-", "xoxp-", "glpat-", "npm_", "AIza"]) + any_of(mixed, 20, 40),
-                lambda: "AKIA" + any_of(string.ascii_uppercase + string.digits, 16, 16),
-                lambda: "eyJ" + any_of(mixed + "_-", 24, 60),
-                lambda: any_of(mixed + "!#$%&*+-_", 8, 24),
+                lambda: self.any_of(mixed, 10, 24), lambda: self.any_of("0123456789abcdef", 12, 64), lambda: self.any_of(mixed + "!#$%&*+-_", 9, 24),
+                *[lambda: self.plain(2, 3).capitalize() + self.any_of(string.digits, 2, 4) + self.r.choice("!#$%&*?")] * 2, lambda: "-".join(self.plain(1, 2) for _ in range(4)) + self.any_of(string.digits, 1, 3),
             ]
-        )()
-        name = r.choice(["password", "passwd", "secret", "token", "api_key", "apikey", "client_secret", "auth", "access key", "private key", "credentials", "pwd", "Authorization: Bearer", "aws_secret_access_key"])
-        lead = r.choice([f"{name} = ", f"{name}: ", f'{name}="', f"{name.upper()}=", f"{name} is ", f"export {name.upper()}='", "://admin:", ""])
-        if not lead:  # only some shapes speak for themselves
-            value = r.choice(["ghp_", "sk_live_", "xoxb-", "glpat-", "AIza", "AKIA"]) + any_of(mixed, 20, 40)
-        return lead, value
-
-    def other() -> tuple[str, str]:
+        )()
+
+    def named(self, name: str, value: str) -> tuple[str, str, str]:
+        """What comes before, the value, and what comes after."""
+        name = self.r.choice([name, name.upper(), name.capitalize(), f"{self.plain(1, 2)}_{name}", f"{self.plain(1, 2)}.{name}"])
+        return self.r.choice([(f"{name} = ", value, ""), (f"{name}: ", value, ""), (f"{name}=", value, ""), (f'{name}="', value, '"'), (f'"{name}": "', value, '",'), (f"export {name}='", value, "'"), (f"{name} := '", value, "';"), (f"{name} => \"", value, '"')])
+
+    def secret(self) -> tuple[str, str, str]:
+        r, any_value = self.r, lambda: self.strong() if self.r.random() < 0.5 else self.weak()
+        key = "\n".join(self.any_of(string.ascii_letters + string.digits + "+/", 64, 64) for _ in range(r.randint(1, 4)))
+        kind = r.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "])
+        header = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n" if r.random() < 0.2 else ""
         return r.choice(
             [
-                lambda: (r.choice(["commit ", "sha1 ", "md5: ", "checksum ", "sha256:", "etag ", "revision ", "digest "]), any_of(hexa, 20, 64)),
-                lambda: (r.choice(["id ", "uuid=", "request ", "", "session "]), "-".join(any_of(hexa, k, k) for k in (8, 4, 4, 4, 12))),
-                lambda: (r.choice(["see ", "", "https://", "/", "file "]), "/".join(word() for _ in range(r.randint(3, 6))) + f"/{r.randint(1, 2030)}"),
-                lambda: ("", "_".join(word() for _ in range(r.randint(3, 6))) + f"_{r.randint(0, 99)}"),
-                lambda: ("", "-".join(word() for _ in range(r.randint(3, 6))) + f"-{r.randint(0, 2030)}"),
-                lambda: (r.choice(["order ", "no. ", "invoice ", "ref "]), r.choice("ABCDEFR") + any_of(string.digits, 19, 24)),
-                lambda: ("", r.choice("=-_") * r.randint(20, 60) + r.choice(["1", "a1", "v2"])),
-                lambda: (r.choice(["password = ", "token: ", "secret=", "api_key="]), r.choice(["your_password_here_123", "xxxxxxxxxxxxxxxxxxxxxxx1", "changeme-changeme-2020", "example_token_value_01", "insert-your-api-key-here-1"])),
-                lambda: ("data:image/png;base64,", any_of(mixed + "+/", 24, 60)),
-                lambda: ("", "".join(word() for _ in range(r.randint(6, 9))).replace("í", "i").replace("é", "e").replace("ü", "u") + str(r.randint(0, 9))),
-                lambda: ("", f"20{r.randint(10, 30)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}-{r.randint(10, 59)}-{r.randint(10, 59)}Z"),
+                *[lambda: self.named(r.choice(SECRET_NAMES), any_value())] * 4, lambda: self.named(self.plain(), self.strong()), lambda: (r.choice(["Authorization: Bearer ", "curl -H 'Authorization: Bearer ", "bearer "]), self.strong(), ""),
+                lambda: (f"{r.choice(['https', 'ftp', 'postgres', 'redis', 'amqp'])}://{self.plain()}:", any_value().replace("/", "-"), f"@{self.plain()}.example/{self.plain()}"), lambda: (r.choice(["", "use ", "key is ", '"', "("]), self.strong(), ""),
+                lambda: ("", f"-----BEGIN {kind}PRIVATE KEY-----\n{header}{key}\n-----END {kind}PRIVATE KEY-----", ""),
             ]
-        )()
-
-    made = []
-    for k in range(n):
-        lead, value = secret() if k % 2 else other()
-        before = r.choice(["", prose() + " ", prose() + "\n", prose() + ", "])
-        if r.random() < 0.3:  # a span may hold the name too
-            lead, value = "", lead + value
-        before += lead
-        made.append(Finding(before + value + r.choice(["", " ", "\n", '" ', "' ", "@host ", ". ", ", "]) + prose(), len(before), len(before) + len(value), bool(k % 2)))
-    r.shuffle(made)
+        )()
+
+    def other(self) -> tuple[str, str, str]:
+        r, hexa = self.r, "0123456789abcdef"
+        path = lambda: "/".join(self.plain() for _ in range(r.randint(3, 6)))
+        uuid = lambda: "-".join(self.any_of(hexa, k, k) for k in (8, 4, 4, 4, 12))
+        values = [
+            lambda: self.any_of(hexa, 20, 64), uuid, lambda: f"{path()}/{r.randint(1, 2030)}", *[lambda: f"http{r.choice(['', 's'])}://{r.choice(['', 'www.'])}{self.plain()}.{r.choice(['org', 'com', 'example', 'net'])}/{path()}{r.choice(['', '-' + self.plain(), '-' + str(r.randint(1900, 2030))])}{r.choice(['', '/', '.html', '/index.html', f'?{self.plain()}={r.randint(1, 99)}', f'/{r.randint(1, 2030)}'])}"] * 3, lambda: "_".join(self.plain() for _ in range(r.randint(3, 6))) + f"_{r.randint(0, 99)}",
+            lambda: "-".join(self.plain() for _ in range(r.randint(3, 6))) + f"-{r.randint(0, 2030)}", lambda: r.choice("ABCDEFR") + self.any_of(string.digits, 12, 24), lambda: r.choice("=-_") * r.randint(16, 60) + r.choice(["1", "a1", "v2"]),
+            lambda: "".join(self.plain() for _ in range(r.randint(4, 9))) + str(r.randint(0, 9)), lambda: f"20{r.randint(10, 30)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}Z", lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)) + f":{r.randint(80, 9999)}",
+            lambda: f"{self.plain()}.{self.plain()}{r.randint(0, 99)}@{self.plain()}.example.com", lambda: f"+{r.randint(1, 99)}-{r.randint(100, 999)}-{r.randint(1000, 9999)}-{r.randint(10, 99)}", lambda: "".join(self.plain().capitalize() for _ in range(r.randint(2, 4))) + r.choice(["", "", "(", "()", "Id", "Name", "2"]), lambda: self.plain(3, 5).capitalize(), lambda: f"{self.plain(2, 3)}.{self.plain(2, 3)}.{self.plain(2, 3)}{r.randint(0, 9)}",
+        ]
+        holders = ["your_password_here_123", "xxxxxxxxxxxxxxxxxxxxxxx1", "changeme-changeme-2020", "example_token_value_01", "insert-your-api-key-here-1", "${DB_PASSWORD_1}", "{{secrets.TOKEN_2}}", "<YOUR_TOKEN_HERE>", "os.environ['TOKEN_1']", "REDACTED_REDACTED_1", "************1", "process.env.API_KEY", "getpass.getpass()", "Must_be_set_by_you"]
+        holders += [a + "-".join(self.plain() for _ in range(3)) + str(r.randint(1, 9)) + b for a, b in (("<", ">"), ("${", "}"), ("[", "]"))]
+        return r.choice(
+            [
+                *[lambda: self.named(r.choice(PLAIN_NAMES), r.choice(values)())] * 4, *[lambda: ("", r.choice(values)(), "")] * 3, lambda: self.named(self.word(), r.choice(values)()), lambda: self.named(r.choice(SECRET_NAMES), r.choice(holders)), lambda: (f"{self.word()}: ", self.word(4, 6).capitalize(), ""),
+                lambda: ("data:image/png;base64,", self.any_of(string.ascii_letters + string.digits + "+/", 24, 60), ""), lambda: (f"{r.choice(['commit', 'sha256', 'checksum', 'merge of'])} ", self.any_of(hexa, 20, 64), ""), lambda: (f'{self.word()} "', r.choice(values)(), '" '), lambda: (f"https://{self.plain()}.example:{r.randint(80, 9999)}/", f"{path()}@{self.plain()}", ""),
+            ]
+        )()
+
+    def snippet(self, secret: bool) -> tuple[str, int, int]:
+        """A text, and where its secret or look-alike is."""
+        lead, value, tail = self.secret() if secret else self.other()
+        before = self.r.choice(["", self.prose() + " ", self.prose() + "\n", self.prose() + ", "]) + lead
+        return before + value + tail + self.r.choice(["", " ", "\n", ". ", ", ", ") "]) + self.prose(), len(before), len(before) + len(value)
+
+
+def findings(n: int = FINDINGS, seed: int = 42) -> list[Finding]:
+    """About n labelled findings in snippets, half of which have a secret. A finding holds a secret if it has half of one, or lies in one by half."""
+    made, source, k = [], Snippets(seed), 0
+    while len(made) < n:
+        text, start, end = source.snippet(k % 2 == 1)
+        base = base_spans(text)
+        for s, _, e in base + added_candidates(text, base):
+            made.append(Finding(text, s, e, k % 2 == 1 and 2 * (min(e, end) - max(s, start)) >= min(end - start, e - s)))
+        k += 1
+    source.r.shuffle(made)
     return made
 
 
@@ -267,9 +359,9 @@ def trained(n: int = FINDINGS, seed: int = 42, recall: float = RECALL) -> Networ
     """The network, trained once a process."""
     if (n, seed, recall) not in _trained:
         found = findings(n, seed)
-        codes = np.array([encode(f.text, f.start, f.end) for f in found])
+        codes = np.stack([encode(codes_of(f.text), f.start, f.end) for f in found])
         labels = np.array([f.secret for f in found], np.float64)
-        back = int(n * HELD_BACK)
+        back = int(len(found) * HELD_BACK)
         net = Network(seed)
         net.train(codes[back:], labels[back:], seed=seed)
         net.calibrate(codes[:back], labels[:back], recall)
@@ -281,9 +373,10 @@ def scan(texts: list[str], net: Network) -> list[list[tuple[int, int, int, float
     """(start, kind, end, probability) of the secrets in each text, by start, kind and end. Base spans stay, whatever their score."""
     base = [base_spans(t) for t in texts]
     every = [b + added_candidates(t, b) for t, b in zip(texts, base, strict=True)]
-    scored = iter(net.scaled(net.highest(views(t, s, e) for t, spans in zip(texts, every, strict=True) for s, _, e in spans)).tolist())
+    seen = (views(codes, s, e) for t, spans in zip(texts, every, strict=True) if spans for codes in [codes_of(t)] for s, _, e in spans)
+    scored = iter(net.scaled(net.highest(seen)).tolist())
     found = [[(*span, next(scored)) for span in spans] for spans in every]
-    return [sorted(x for x in spans if x[1] < len(BASE) or x[3] >= net.threshold) for spans in found]
+    return [sorted([x for x in spans if x[1] < len(BASE)] + apart([x for x in spans if x[1] >= len(BASE) and x[3] >= net.threshold])) for spans in found]
 
 
 def masked(text: str, spans: list[tuple[int, int, int, float]], mask: str = MASK) -> str:
@@ -338,7 +431,9 @@ def mask(docs: DataFrame, net: Network | None = None, length: str | None = None)
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document.
 
-    A null or empty text has none; repeated rows each have their row; an empty table gives none;
-    other columns of the input are not read.
+    A null or empty text has none; a very long text is scanned whole, in time that follows its
+    length and its candidates, and a long candidate by windows that cover it; a candidate just at
+    the threshold is a secret, and of added ones that overlap the first stays; repeated rows each
+    have their row; an empty table gives none; other columns of the input are not read.
     """
     return find(documents(spark, sf_dir))

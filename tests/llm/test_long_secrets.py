@@ -30,7 +30,7 @@ def test_keys_within_paths_are_found():
 @pytest.mark.parametrize("length", [20, 40, 41, 50, 51, 399])
 def test_windows_cover_the_whole(length):
     text = "".join(chr(33 + k % 94) for k in range(length))
-    codes = secrets._codes(text)
-    seen = [[c for c in v[secrets.BEFORE : secrets.BEFORE + secrets.INSIDE] if c] for v in secrets.views(text, 0, length)]
+    codes = secrets.codes_of(text)
+    seen = [[c for c in v[secrets.BEFORE : secrets.BEFORE + secrets.INSIDE] if c] for v in map(list, secrets.views(codes, 0, length))]
     runs = seen[1:] or seen
-    assert {x + k for v in runs for x in range(length) if codes[x : x + len(v)] == v for k in range(len(v))} == set(range(length))
+    assert {x + k for v in runs for x in range(length) if codes[x : x + len(v)].tolist() == v for k in range(len(v))} == set(range(length))

@@ -285,7 +285,7 @@ def test_hot_text_is_cut(spark):
 def test_network_gradients():
     net = secrets.Network()
     found = secrets.findings(30)
-    codes = np.array([secrets.encode(f.text, f.start, f.end) for f in found])
+    codes = np.array([secrets.encode(secrets.codes_of(f.text), f.start, f.end) for f in found])
     labels = np.array([f.secret for f in found], float)
     loss = lambda: np.mean(np.log1p(np.exp(-np.where(labels == 1, 1, -1) * net.logits(codes))))
     for name, g in net._gradients(codes, labels).items():
@@ -301,7 +301,7 @@ def test_network_gradients():
 def test_network_on_findings_it_has_not_seen():
     net = secrets.trained()
     found = secrets.findings(2000, seed=99)
-    p = net.probability(np.array([secrets.encode(f.text, f.start, f.end) for f in found])) >= net.threshold
+    p = net.probability(np.array([secrets.encode(secrets.codes_of(f.text), f.start, f.end) for f in found])) >= net.threshold
     labels = np.array([f.secret for f in found])
     assert p[labels].mean() >= 0.95 and p[~labels].mean() <= 0.05
 
