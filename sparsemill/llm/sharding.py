@@ -1,10 +1,12 @@
 """Shards of near equal bytes by sampled splitters, with DataFrame functions only.
 
-Rows are ordered by (hash of the text, doc_id), so copies lie side by side. A size-weighted sample
-of keys gives quantiles that cut the order into many ranges; the exact weight of each range is
-counted, overfull ranges are cut again, and the ranges go to shards, heaviest first, each into the
-lightest shard. A text's copies stay in one range unless they are a notable part of the corpus;
-such a text is cut by doc_id, so no range - and no task - depends on the largest group of copies.
+Rows are ordered by (hash of the text, doc_id, place at which they were written), so copies lie side
+by side and no two rows are equal. A size-weighted sample of keys gives quantiles that cut the order
+into many ranges; the exact weight of each range is counted, overfull ranges are cut again until none
+of several rows is left, and the ranges go to shards, heaviest first, each into the lightest shard.
+A text's copies stay in one range unless they are a notable part of the corpus; such a text is cut by
+doc_id, and rows that are equal throughout by their place, so no range - and no task - depends on the
+largest group of copies.
 """
 
 from __future__ import annotations
@@ -21,43 +23,44 @@ RANGES_PER_SHARD = 64
 #: Sample points for each range, and times the mean weight at which a range is overfull.
 POINTS_PER_RANGE = 16
 OVERFULL = 2.0
-CUT_ROUNDS = 4
+#: A sample that finds no place to cut is drawn up to so many times as dense; what is overfull then is a row of such a size beside small ones.
+MOST_DENSE = 64
 LEAST_KEY = -(2**63)
 
-Key = tuple[int, int]
+Key = tuple[int, int, int]  # hash, doc_id, place
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the hash of each text; a null text is empty."""
+    """doc_id, size, text_crc32, the hash of each text and the row's place, which is fixed once the table is written; a null text is empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("hash"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("place"))
 
 
 def _row_key() -> Column:
-    return F.struct(F.col("hash"), F.coalesce(F.col("doc_id"), F.lit(LEAST_KEY)).alias("id"))
+    return F.struct(F.col("hash"), F.coalesce(F.col("doc_id"), F.lit(LEAST_KEY)).alias("id"), F.col("place"))
 
 
 def _range_of(splitters: list[Key]) -> Column:
-    return place_among(_row_key(), splitters, lambda k: f"named_struct('hash', {long_sql(k[0])}, 'id', {long_sql(k[1])})").cast("int")
+    return place_among(_row_key(), splitters, lambda k: f"named_struct('hash', {long_sql(k[0])}, 'id', {long_sql(k[1])}, 'place', {long_sql(k[2])})").cast("int")
 
 
-def sample(rows: DataFrame, points: float, size: float, count: float, seed: int = 0) -> list[tuple[int, int, int]]:
-    """(hash, id, points) of rows drawn by weight, `points` in all on average: half by the row's share of the bytes, half by its share of the rows."""
+def sample(rows: DataFrame, points: float, size: float, count: float, seed: int = 0) -> list[tuple[Key, int]]:
+    """(key, points) of rows drawn by weight, `points` in all on average: half by the row's share of the bytes, half by its share of the rows."""
     weight = points / 2 * (F.col("size") / size + F.lit(1.0) / count)
-    chance = F.shiftrightunsigned(F.xxhash64("doc_id", "hash", F.lit(seed)), 11) / float(2**53)
+    chance = F.shiftrightunsigned(F.xxhash64("place", "hash", F.lit(seed)), 11) / float(2**53)
     drawn = rows.select(_row_key().alias("key"), F.floor(weight + chance).cast("long").alias("n")).where("n > 0")
-    return sorted((r["hash"], r["id"], r["n"]) for r in drawn.select("key.hash", "key.id", "n").collect())
+    return sorted(((r["hash"], r["id"], r["place"]), r["n"]) for r in drawn.select("key.hash", "key.id", "key.place", "n").collect())
 
 
-def quantiles(points: list[tuple[int, int, int]], each: int) -> list[Key]:
+def quantiles(points: list[tuple[Key, int]], each: int) -> list[Key]:
     """A splitter after every `each` points. Texts with few points are not cut: the splitter goes before all their copies."""
     of_text: dict[int, int] = {}
-    for hash_, _, n in points:
+    for (hash_, *_), n in points:
         of_text[hash_] = of_text.get(hash_, 0) + n
     found, seen = set(), 0
-    for hash_, id_, n in points:
+    for key, n in points:
         if (seen + n) // each > seen // each:
-            found.add((hash_, id_) if of_text[hash_] >= each // 2 else (hash_, LEAST_KEY))
+            found.add(key if of_text[key[0]] >= each // 2 else (key[0], LEAST_KEY, LEAST_KEY))
         seen += n
     return sorted(found)
 
@@ -69,25 +72,30 @@ def weights(rows: DataFrame, splitters: list[Key]) -> dict[int, tuple[int, int]]
 
 
 def ranges(rows: DataFrame, n_ranges: int) -> tuple[list[Key], dict[int, tuple[int, int]]]:
-    """Splitters and the weights of their ranges; overfull ranges are cut at quantiles of a sample of their own."""
+    """Splitters and the weights of their ranges. Overfull ranges are cut at quantiles of a sample of their own, until none is left but single rows.
+
+    A sample that finds no new place to cut is drawn anew, twice as dense, up to MOST_DENSE times.
+    """
     total = rows.agg(F.sum("size").alias("size"), F.count("*").alias("n")).first()
     if not total["n"]:
         return [], {}
     splitters = quantiles(sample(rows, n_ranges * POINTS_PER_RANGE, total["size"], total["n"]), POINTS_PER_RANGE)
     held = weights(rows, splitters)
-    for seed in range(1, CUT_ROUNDS + 1):
+    seed = dense = 1
+    while True:
         load = {p: max(size / total["size"], n / total["n"]) * n_ranges for p, (size, n) in held.items()}
         full = [p for p, x in load.items() if x > OVERFULL and held[p][1] > 1]
-        if not full:
-            break
+        if not full or dense > MOST_DENSE:
+            return splitters, held
         inside = rows.where(_range_of(splitters).isin(full))
-        parts = sum(2 * load[p] for p in full)
+        parts = dense * sum(2 * load[p] for p in full)
         more = quantiles(sample(inside, parts * POINTS_PER_RANGE, sum(held[p][0] for p in full), sum(held[p][1] for p in full), seed), POINTS_PER_RANGE)
+        seed += 1
         if set(more) <= set(splitters):
-            break
+            dense *= 2
+            continue
         splitters = sorted({*splitters, *more})
         held = weights(rows, splitters)
-    return splitters, held
 
 
 def assign(held: dict[int, tuple[int, int]], shards: int) -> dict[int, tuple[int, int]]:
@@ -110,7 +118,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges_per_shard: int = RANGES_
     placed = assign(held, shards)
     every = range(len(splitters) + 1)
     look_up = lambda k, kind: F.element_at(array_of([placed.get(p, (0, 0))[k] for p in every]), F.col("part") + 1).cast(kind)
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("hash", "doc_id", "size"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("hash", "doc_id", "place"))
     return rows.withColumn("part", _range_of(splitters)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), look_up(0, "int").alias("shard"), (look_up(1, "long") + rank - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
@@ -119,7 +127,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges_per_shard: int = RANGES_
 def op8_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes.
 
-    A null text is empty and has size 1; a null doc_id counts as the smallest; repeated rows take
-    a slot each; an empty table gives no rows; other columns of the input are not read.
+    A null text is empty and has size 1; a null doc_id counts as the smallest; a very long text goes
+    to one shard whole, which the lightest others make up for; equal rows go in the order in which
+    they were written and take a slot each; an empty table gives no rows; other columns of the input
+    are not read.
     """
     return shard(documents(spark, sf_dir))

@@ -267,7 +267,7 @@ def test_hot_text_is_cut(spark):
     """A third of all rows have one text, another third is empty: both are cut by doc_id, other copies stay together."""
     texts = ["hot " * 50] * 3000 + [""] * 3000 + [f"text {k // 2} " * 50 for k in range(3000)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = sharding.sized(docs).cache()
+    rows = sharding.materialize(sharding.sized(docs), "sized")
     splitters, held = sharding.ranges(rows, 256)
     total, n = sum(s for s, _ in held.values()), sum(k for _, k in held.values())
     assert max(s for s, _ in held.values()) < 5 * total / 256 and max(k for _, k in held.values()) < 5 * n / 256
