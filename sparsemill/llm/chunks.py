@@ -93,30 +93,51 @@ def containment(a: set[str], b: set[str]) -> float:
     return length(a & b) / length(a)
 
 
-def with_next(docs: DataFrame, partitions: int) -> DataFrame:
+#: Bytes of text that a range holds on average at most, and keys that are drawn for each range.
+RANGE_BYTES = 64 << 20
+POINTS_PER_RANGE = 20
+
+Key = tuple[int, int, int]  # doc_id, hash of the text, place
+
+
+def _key_sql(key: Key | None) -> str:
+    kind = "STRUCT<key: BIGINT, hash: BIGINT, place: BIGINT>"
+    return f"CAST(NULL AS {kind})" if key is None else "named_struct(" + ", ".join(f"'{n}', {long_sql(v)}" for n, v in zip(("key", "hash", "place"), key, strict=True)) + ")"
+
+
+def with_next(docs: DataFrame, least_partitions: int) -> DataFrame:
     """Documents dealt by ranges of doc_id and sorted in each, with the first one of the next range at the end (`ahead`).
 
-    After the last range comes the first; a null doc_id counts as the smallest one and equal ones
-    go by text. Only splitters and the smallest key of each range come to the driver.
+    After the last range comes the first; a null doc_id counts as the smallest one, documents of one
+    doc_id go by a hash of their texts, and equal rows by their places in the table, which must be
+    the same whenever it is read, as those of files are. So ranges part rows of one doc_id too. There
+    are as many ranges as the texts need, `least_partitions` at least. Only splitters and the
+    smallest key of each range come to the driver.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    keyed = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    marks = keyed.approxQuantile("key", [k / partitions for k in range(1, partitions)], 0.2 / partitions) if partitions > 1 else []
-    splitters = sorted({int(x) for x in marks})
-    part = place_among(F.col("key"), splitters).cast("int")
-    heads = {r["part"]: r["head"] for r in keyed.groupBy(part.alias("part")).agg(F.min("key").alias("head")).collect()}
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("place"))
+    keyed = docs.select(own.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    size = (F.octet_length("text") + 1).cast("long")
+    total = keyed.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0
+    partitions = max(1, least_partitions, -(-total // RANGE_BYTES))
+    chance = F.shiftrightunsigned(F.xxhash64("key.place", "key.hash"), 11) / float(2**53)
+    drawn = keyed.where(chance < size * (partitions * POINTS_PER_RANGE / max(total, 1))).select("key.*")
+    points = sorted(tuple(r) for r in drawn.collect())
+    splitters = sorted({points[len(points) * k // partitions] for k in range(1, partitions)} if points else ())
+    part = place_among(F.col("key"), splitters, _key_sql).cast("int")
+    heads = {r["part"]: tuple(r["head"]) for r in keyed.groupBy(part.alias("part")).agg(F.min("key").alias("head")).collect()}
     if not heads:
         return keyed.select(F.lit(0).alias("part"), F.lit(False).alias("ahead"), "key", "doc_id", "text")
     there = sorted(heads)
     before = {p: there[k - 1] for k, p in enumerate(there)}
     every = range(len(splitters) + 1)
     at = F.col("own") + 1
-    head = F.element_at(array_of([heads.get(p) for p in every], lambda h: "CAST(NULL AS BIGINT)" if h is None else long_sql(h)), at)
+    head = F.element_at(array_of([heads.get(p) for p in every], _key_sql), at)
     back = F.element_at(array_of([before.get(p, 0) for p in every]), at)
     spot = lambda part, ahead: F.struct(part.alias("part"), F.lit(ahead).alias("ahead"))
     spots = F.when(F.col("key") == head, F.array(spot(F.col("own"), False), spot(back, True))).otherwise(F.array(spot(F.col("own"), False)))
     dealt = keyed.withColumn("own", part).withColumn("spot", F.explode(spots)).select("spot.part", "spot.ahead", "key", "doc_id", "text")
-    return dealt.repartitionById(len(splitters) + 1, F.col("part")).sortWithinPartitions("part", "ahead", "key", "text")
+    return dealt.repartitionById(len(splitters) + 1, F.col("part")).sortWithinPartitions("part", "ahead", "key")
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -155,16 +176,18 @@ def _edited(doc_id: int, text: str, print_: str, chunks: set[str], after: str, a
     return doc_id, len(text), hashlib.sha256(edited).hexdigest(), print_, edited_print, containment(chunks, chunk_set(edited_print)), containment(chunks, after_chunks)
 
 
-def edited_likeness(docs: DataFrame, partitions: int) -> DataFrame:
+def edited_likeness(docs: DataFrame, least_partitions: int) -> DataFrame:
     small_batches()
-    return with_next(docs, partitions).mapInArrow(_compared, EDITED)
+    return with_next(docs, least_partitions).mapInArrow(_compared, EDITED)
 
 
 def op5_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how much of it the edited text and the next document contain.
 
     A null text is empty; empty texts have an empty fingerprint, which is contained in another
-    empty one wholly and in no other; a sole document is its own next one; repeated rows follow
-    one another; an empty table gives no rows; other columns of the input are not read.
+    empty one wholly and in no other; a very long text is chunked whole; a sole document is its own
+    next one; documents without doc_id come first, those of one doc_id go by the hash (XXH64, seed
+    42) of their texts, and repeated rows follow one another; an empty table gives no rows; other
+    columns of the input are not read.
     """
     return edited_likeness(documents(spark, sf_dir), int(spark.conf.get("spark.sql.shuffle.partitions")))
