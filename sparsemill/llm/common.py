@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..shared import discard, materialize
 
 __all__ = ["array_of", "crc_mod", "discard", "documents", "let", "long_sql", "map_slices", "materialize", "place_among", "small_batches"]
@@ -17,7 +18,7 @@ ROWS_AT_ONCE = 512
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
