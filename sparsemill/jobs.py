@@ -12,6 +12,7 @@ from .plans import factors as MF
 from .plans import regression as R
 from .plans import wordcount
 from .session import session
+from .shared import materialize
 from .sources import sinks
 from .sources.config import JobConfig
 from .sources.edges import read_edges
@@ -32,11 +33,11 @@ def count_words(spark: SparkSession, config: JobConfig) -> DataFrame:
 
 def logistic(spark: SparkSession, config: JobConfig) -> DataFrame:
     """theta and the loss; theta is written as one line."""
-    samples = read_samples(spark, config.input)
+    samples = materialize(read_samples(spark, config.input), "samples")
     first = samples.first()
     if first is None:
         raise ValueError(f"{config.input} has no samples")
-    theta = R.fit_logistic(samples, [0.0] * len(first["x"]), config.alpha, config.beta, config.rounds)
+    theta = R.fit_logistic(samples, [0.0] * len(first["x"]), config.alpha, config.beta, config.rounds, config.limit_s)
     found = R.loss(samples, theta).withColumn("theta", R.constant(theta))
     if config.output:
         sinks.write_lines(found, sinks.vector_line(F.col("theta")), _output(config, "theta"), one_file=True)
@@ -46,9 +47,10 @@ def logistic(spark: SparkSession, config: JobConfig) -> DataFrame:
 def factorise(spark: SparkSession, config: JobConfig, biased: bool = False) -> DataFrame:
     """The error; the factors of users (p) and of items (q) are written, with biases last if there are any."""
     edges = read_edges(spark, config.input, "triple", ",").select(F.xxhash64("i").alias("i"), F.xxhash64("j").alias("j"), "v", F.col("i").alias("user"), F.col("j").alias("item"))
+    edges = materialize(edges, "ratings")
     s = MF.Settings(config.k, config.alpha, config.beta, biased, clamped=biased)
     mean = E.global_mean(edges).first()["mean"] or 0.0
-    users, items = MF.fit(edges.select("i", "j", "v"), MF.start(edges, "i", config.k), MF.start(edges, "j", config.k), s, config.rounds, mean)
+    users, items = MF.fit(edges.select("i", "j", "v"), MF.random_start(edges, "i", config.k, 1), MF.random_start(edges, "j", config.k, 2), s, config.rounds, mean, config.limit_s, config.sync_every)
     if config.output:
         for side, key, name, factors in (("p", "i", "user", users), ("q", "j", "item", items)):
             named = factors.join(edges.select(F.col(key).alias("id"), F.col(name).alias("name")).distinct(), "id")

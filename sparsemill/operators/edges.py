@@ -58,8 +58,8 @@ def ratings(lines: DataFrame, separator: str = "\t", line: str = "value") -> Dat
     return lines.select(rating_record(F.col(line), separator).alias("r")).where("r IS NOT NULL").select("r.*")
 
 
-#: Formats by name, as functions of (lines, separator): what a job's settings may name.
-FORMATS = {"pair": adjacency_pairs, "weighted_pair": weighted_pairs, "triple": triples, "set": adjacency_sets, "ratings": ratings}
+#: Formats by name, as functions of (lines, separator): what a job's settings may name. The inner items of `nested` are parted by commas.
+FORMATS = {"pair": adjacency_pairs, "weighted_pair": weighted_pairs, "triple": triples, "set": adjacency_sets, "nested": lambda lines, separator: nested_sets(lines, separator, ","), "ratings": ratings}
 
 
 def matrix(edges: DataFrame) -> DataFrame:

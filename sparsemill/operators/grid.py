@@ -28,12 +28,13 @@ def shape_columns(n: Column) -> tuple[Column, Column]:
 
 
 def cell_of(i: Column, j: Column, rows: int, columns: int) -> Column:
-    """The cell of an edge: ids of whole numbers count as they are, others by their hash. All edges of a row lie in one row of the grid."""
-    return (F.pmod(i, F.lit(rows)) * columns + F.pmod(j, F.lit(columns))).cast("int")
+    """The cell of an edge: ids that are whole numbers, or texts of such, count as they are, others by their hash. All edges of a row lie in one row of the grid."""
+    return (F.pmod(whole(i), F.lit(rows)) * columns + F.pmod(whole(j), F.lit(columns))).cast("int")
 
 
-def hashed(id_: Column) -> Column:
-    return F.xxhash64(id_)
+def whole(id_: Column) -> Column:
+    """A whole number for an id of any kind."""
+    return F.coalesce(id_.try_cast("string").try_cast("bigint"), F.xxhash64(id_))
 
 
 def exchange(edges: DataFrame, rows: int, columns: int, i: Column | None = None, j: Column | None = None) -> DataFrame:

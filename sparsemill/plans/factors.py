@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import add, avg_arrays, clamp, dot_of
 from ..operators.grid import cell_of
+from ..shared import materialize
 from .loop import cut, stale_rounds
 
 LOW, HIGH = 1.0, 5.0
@@ -39,6 +40,12 @@ def start(ids: DataFrame, column: str, k: int) -> DataFrame:
     return ids.select(F.col(column).alias("id")).distinct().select("id", initial(F.col("id"), k).alias("f"), F.lit(0.0).alias("b"))
 
 
+def random_start(ids: DataFrame, column: str, k: int, seed: int = 0) -> DataFrame:
+    """Factors of all distinct ids, uniform in [0, 1) and different for each id, without bias; the same for the same seed."""
+    chance = lambda e: F.shiftrightunsigned(F.xxhash64("id", F.lit(e), F.lit(seed)), 11) / float(2**53)
+    return ids.select(F.col(column).alias("id")).distinct().select("id", F.array(*map(chance, range(k))).alias("f"), F.lit(0.0).alias("b"))
+
+
 def _side(factors: DataFrame, key: str, f: str, b: str) -> DataFrame:
     return factors.select(F.col("id").alias(key), F.col("f").alias(f), F.col("b").alias(b))
 
@@ -91,14 +98,28 @@ def epoch(edges: DataFrame, users: DataFrame, items: DataFrame, s: Settings, mea
     return moved(own_users, by_user, "i", "dp", "_b", s.k), moved(own_items, by_item, "j", "dq", "_b", s.k)
 
 
-def fit(edges: DataFrame, users: DataFrame, items: DataFrame, s: Settings, n_rounds: int, mean: float = 0.0, staleness: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Rounds whose steps may come from factors that are so many rounds old; each round's factors are written, which ends their lineage."""
+def batch_of(batches: int, seed: int, round_: int) -> Column:
+    """The batch of an edge, dealt at random and anew in each round, and the same on every run and engine."""
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.lit(round_), F.col("i"), F.col("j")))
+    return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(batches))
+
+
+def fit(
+    edges: DataFrame, users: DataFrame, items: DataFrame, s: Settings, n_rounds: int, mean: float = 0.0, staleness: int = 0, sync_every: int = 0, seed: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """Rounds whose steps may come from factors that are so many clocks old; each clock's factors are written, which ends their lineage.
+
+    A clock is a round, or with `sync_every` a random batch of about so many edges: the budget of
+    clocks is then the rounds times the batches.
+    """
+    batches = max(1, -(-edges.count() // sync_every)) if sync_every else 1
 
     def step(seen: dict[str, DataFrame], newest: dict[str, DataFrame], k: int) -> dict[str, DataFrame]:
-        u, i = epoch(edges, seen["users"], seen["items"], s, mean, (newest["users"], newest["items"]))
+        part = edges if batches == 1 else edges.where(batch_of(batches, seed, k // batches) == k % batches)
+        u, i = epoch(part, seen["users"], seen["items"], s, mean, (newest["users"], newest["items"]))
         return cut({"users": u, "items": i}, k)
 
-    state = stale_rounds({"users": users, "items": items}, step, n_rounds, staleness)
+    state = stale_rounds({"users": users, "items": items}, step, n_rounds * batches, staleness)
     return state["users"], state["items"]
 
 
@@ -167,8 +188,9 @@ def grid_round(
 ) -> tuple[DataFrame, DataFrame]:
     """One round in which each cell of a grid goes through its edges one by one, from common factors; the cells' changes are averaged.
 
-    A cell is a task's rows, so a grid must have cells that fit in memory. `order` sorts a cell's
-    edges; without it they go by i, then j.
+    A cell is a task's rows, each with the factors of both its ends, so a grid must have cells that
+    fit in memory. `order` sorts a cell's edges; without it they go by i, then j. What the cells
+    change is written once, for both sides.
     """
     key = order or (lambda i, j: F.lit(0))
     joined = with_factors(edges, users, items).withColumn("cell", cell_of(F.col("i"), F.col("j"), rows, columns)).withColumn("turn", key(F.col("i"), F.col("j")))
@@ -187,5 +209,6 @@ def grid_round(
         return pd.concat([pd.DataFrame({"side": side, "id": ids, "delta": list(f), "bias": b}) for side, ids, f, b in changed])
 
     steps = joined.select("cell", "turn", "i", "j", "v", "p", "q", "bu", "bi").groupBy("cell").applyInPandas(run, "side string, id long, delta array<double>, bias double")
+    steps = materialize(steps, "cell-steps")
     side = lambda factors, name: moved(factors, steps.where(F.col("side") == name), "id", "delta", "bias", s.k)
     return side(users, "i"), side(items, "j")

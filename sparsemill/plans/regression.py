@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,9 +42,28 @@ def loss(samples: DataFrame, theta: Theta) -> DataFrame:
 
 def logistic_step(samples: DataFrame, theta: Theta, alpha: float, beta: float, newest: Theta | None = None) -> Theta:
     """`newest`, else theta, plus the mean of all samples' steps at theta: alpha (y - p) x - 2 alpha beta theta, the intercept included."""
-    p = probability(F.col("x"), theta)
-    means = samples.agg(*[F.avg((F.col("y") - p) * F.get("x", F.lit(k))).alias(f"g{k}") for k in range(len(theta))]).first()
-    return [new + alpha * (means[k] or 0.0) - 2 * alpha * beta * t for k, (t, new) in enumerate(zip(theta, newest or theta, strict=True))]
+    return measured_step(samples, theta, alpha, beta, newest)[0]
+
+
+def measured_step(samples: DataFrame, theta: Theta, alpha: float, beta: float, newest: Theta | None = None) -> tuple[Theta, float | None]:
+    """logistic_step(), and the loss at theta, which the same pass gives; None without samples."""
+    e = F.col("y") - probability(F.col("x"), theta)
+    means = samples.agg(*[F.avg(e * F.get("x", F.lit(k))).alias(f"g{k}") for k in range(len(theta))], F.avg(e * e).alias("loss")).first()
+    return [new + alpha * (means[k] or 0.0) - 2 * alpha * beta * t for k, (t, new) in enumerate(zip(theta, newest or theta, strict=True))], means["loss"]
+
+
+def error_curve(samples: DataFrame, theta: Theta, alpha: float, beta: float, n_rounds: int, staleness: int = 0) -> tuple[Theta, DataFrame]:
+    """fit_logistic(), and a row (round, loss) for the start and after each round."""
+    thetas = [list(theta)]
+
+    def step(seen: Theta, newest: Theta, _: int) -> Theta:
+        thetas.append(logistic_step(samples, seen, alpha, beta, newest))
+        return thetas[-1]
+
+    last = stale_rounds(list(theta), step, n_rounds, staleness)
+    # one pass more gives the errors of all rounds
+    errors = samples.agg(*[F.avg(F.pow(F.col("y") - probability(F.col("x"), t), 2)).alias(f"e{k}") for k, t in enumerate(thetas)])
+    return last, errors.select(F.posexplode(F.array(*[F.col(f"e{k}") for k in range(len(thetas))])).alias("round", "loss"))
 
 
 def fit_logistic(samples: DataFrame, theta: Theta, alpha: float, beta: float, n_rounds: int, staleness: int = 0) -> Theta:
@@ -80,28 +99,27 @@ def fit_logistic_local(samples: DataFrame, theta: Theta, alpha: float, beta: flo
     return rounds(list(theta), step, n_rounds)
 
 
-def squared_error(samples: DataFrame, theta: Theta) -> float:
-    e = F.col("y") - linear(F.col("x"), theta)
-    return samples.agg(F.sum(e * e)).first()[0] or 0.0
-
-
-def linear_step(samples: DataFrame, theta: Theta, alpha: float) -> Theta:
-    """theta plus alpha times the sum of (y - theta x) x."""
+def linear_step(samples: DataFrame, theta: Theta, alpha: float) -> tuple[Theta, float]:
+    """theta plus alpha times the sum of (y - theta x) x, and the squared error at theta, in one pass."""
     e = F.col("y") - linear(F.col("x"), theta)
-    sums = samples.agg(*[F.sum(e * F.get("x", F.lit(k))).alias(f"g{k}") for k in range(len(theta))]).first()
-    return [t + alpha * (sums[k] or 0.0) for k, t in enumerate(theta)]
+    sums = samples.agg(*[F.sum(e * F.get("x", F.lit(k))).alias(f"g{k}") for k in range(len(theta))], F.sum(e * e).alias("sse")).first()
+    return [t + alpha * (sums[k] or 0.0) for k, t in enumerate(theta)], sums["sse"] or 0.0
 
 
-def fit_linear(samples: DataFrame, theta: Theta, alpha: float, least_change: float, most_rounds: int) -> tuple[Theta, float]:
-    """One step, then steps until the squared error changes by `least_change` at most, or as many as allowed. theta and the error."""
-    theta = linear_step(samples, theta, alpha)
-    start = (theta, squared_error(samples, theta))
+def fit_linear(samples: DataFrame, theta: Theta, alpha: float, least_change: float, most_rounds: int, watch: Callable[[float], object] | None = None) -> tuple[Theta, float]:
+    """One step, then steps until the squared error changes by `least_change` at most, or as many as allowed. theta and the error; `watch` is told the error of each round."""
+    theta, _ = linear_step(samples, theta, alpha)
 
-    def step(state: tuple[Theta, float], _: int) -> tuple[Theta, float]:
-        new = linear_step(samples, state[0], alpha)
-        return new, squared_error(samples, new)
+    def step(state: tuple[Theta, float, Theta], _: int) -> tuple[Theta, float, Theta]:
+        """theta, its error, and the theta after it."""
+        after, error = linear_step(samples, state[2], alpha)
+        if watch:
+            watch(error)
+        return state[2], error, after
 
-    return rounds(start, step, most_rounds, lambda a, b: abs(a[1] - b[1]) <= least_change)
+    after, error = linear_step(samples, theta, alpha)
+    found = rounds((theta, error, after), step, most_rounds, lambda a, b: abs(a[1] - b[1]) <= least_change)
+    return found[0], found[1]
 
 
 def least_mean_squares(samples: Column, theta: Column, alpha: float) -> Column:

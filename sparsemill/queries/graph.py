@@ -56,8 +56,22 @@ def q17_grid_route(spark, sf_dir):
     " FROM (SELECT n, max(d) AS d FROM generate_series(1, 64) t(n), generate_series(1, 8) s(d) WHERE d * d <= n AND n % d = 0 GROUP BY n)"
 )
 def q18_grid_factor(spark, sf_dir):
+    """The shapes of all grids, from the functions that jobs use; those of a column must be the same."""
     px, py = G.shape_columns(F.col("n"))
-    return spark.range(1, 65).select(F.col("id").alias("n")).select("n", px.alias("px"), py.alias("py"), py.alias("swapped_px"), px.alias("swapped_py"), F.col("n").cast("int").alias("by_row"), F.lit(1).alias("by_row_py"))
+    shapes = [(n, *G.factor(n), *G.factor(n, row_master=False), *G.shape(n, G.BY_ROW)) for n in range(1, 65)]
+    made = spark.createDataFrame(shapes, "n long, px int, py int, swapped_px int, swapped_py int, by_row int, by_row_py int")
+    return made.where((F.col("px") == px) & (F.col("py") == py))
+
+
+_STRINGS = "(SELECT n_name AS i, r_name AS j, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query(f"SELECT i, j, count(*) AS n FROM {_STRINGS} GROUP BY i, j")
+def q20s_exchange_strings(spark, sf_dir):
+    """Edges between names go through a grid: each lies in one cell, with all edges of its row in one row of cells."""
+    edges = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("i"), F.col("r_name").alias("j"))
+    placed = G.exchange(edges, 4, 3)
+    return placed.where((F.col("cell") >= 0) & (F.col("cell") < 12)).groupBy("i", "j").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -57,6 +57,18 @@ def q45_lr_bsp(spark, sf_dir):
     return _row(spark, R.fit_logistic(samples(spark, sf_dir), [0.0] * 4, ALPHA, BETA, 3))
 
 
+def _curve(n: int) -> str:
+    """The loss of each round's theta."""
+    loss = lambda k: f"SELECT {k} AS round, round(avg(pow(y - 1 / (1 + exp(-(a0 * x0 + a1 * x1 + a2 * x2 + a3 * x3))), 2)), 6) AS loss FROM s, t{k}"
+    return _thetas(n).rsplit(" SELECT ", 1)[0] + " " + " UNION ALL ".join(map(loss, range(n + 1)))
+
+
+@query(_curve(3))
+def q45c_lr_error_curve(spark, sf_dir):
+    """The mean squared error before the first and after each of three rounds."""
+    return R.error_curve(samples(spark, sf_dir), [0.0] * 4, ALPHA, BETA, 3)[1].withColumn("loss", F.round("loss", 6))
+
+
 def _linear() -> str:
     ctes = [f"s AS (SELECT x0, x1, 10 * x2 AS y FROM {SAMPLES})", "n AS (SELECT 0.5e0 / count(*) AS a FROM s)", "t0 AS (SELECT 0e0 AS a0, 0e0 AS a1)"]
     for k in range(1, 5):
@@ -86,6 +98,22 @@ def q47_lms(spark, sf_dir):
     return spark.range(1).select(theta.alias("t")).select(*[F.round(F.get("t", F.lit(k)), 10).alias(f"t{k}") for k in range(4)])
 
 
+@query(
+    "WITH RECURSIVE n AS (SELECT 0.5e0 / count(*) AS a, avg(x0 * x0) AS m00, avg(x0 * x1) AS m01, avg(x1 * x1) AS m11, avg(x0 * y) AS c0, avg(x1 * y) AS c1, avg(y * y) AS yy, count(*) AS size"
+    f" FROM (SELECT x0, x1, 10 * x2 AS y FROM {SAMPLES})),"
+    " t AS (SELECT 0 AS step, 0.5e0 * c0 AS a0, 0.5e0 * c1 AS a1, 1e300 AS before FROM n UNION ALL"
+    " SELECT step + 1, a0 + 0.5e0 * (c0 - m00 * a0 - m01 * a1), a1 + 0.5e0 * (c1 - m01 * a0 - m11 * a1), size * (yy - 2 * (a0 * c0 + a1 * c1) + a0 * a0 * m00 + 2 * a0 * a1 * m01 + a1 * a1 * m11)"
+    " FROM t, n WHERE step < 40 AND (step = 0 OR abs(before - size * (yy - 2 * (a0 * c0 + a1 * c1) + a0 * a0 * m00 + 2 * a0 * a1 * m01 + a1 * a1 * m11)) > 0.001e0 * size))"
+    " SELECT round(a0, 5) AS t0, round(a1, 5) AS t1, step AS rounds FROM t ORDER BY step DESC LIMIT 1"
+)
+def q46s_linreg_stop(spark, sf_dir):
+    """Rounds until the squared error changes by a thousandth of the samples at most: well before the 40 that are allowed."""
+    rows = samples(spark, sf_dir).select(F.slice("x", 1, 2).alias("x"), (F.get("x", F.lit(2)) * 10).alias("y"))
+    n, taken = max(1, rows.count()), []
+    theta, _ = R.fit_linear(rows, [0.0, 0.0], 0.5 / n, 0.001 * n, 40, taken.append)
+    return _row(spark, theta, 5).withColumn("rounds", F.lit(len(taken)))
+
+
 K = 4
 PLAIN = MF.Settings(K, 0.005, 0.02)
 BIASED = MF.Settings(K, 0.005, 0.02, biased=True, clamped=True)
@@ -125,6 +153,28 @@ def q51_mf_epoch(spark, sf_dir):
     return _rounded(users, "user").unionByName(_rounded(items, "item"))
 
 
+def _batches(n: int) -> str:
+    """The factors after an epoch over each of n batches in turn."""
+    batch = f"('0x' || substr(md5('7:0:' || i || ':' || j), 1, 8))::BIGINT % {n}"
+    ctes = [f"r AS (SELECT i, j, v, {batch} AS batch FROM {RATINGS})"]
+    ctes += [f"{t}0 AS (SELECT DISTINCT {key} AS id, {', '.join(f'{_INIT(key, k)} AS {f}{k}' for k in range(K))} FROM r)" for t, key, f in (("u", "i", "p"), ("w", "j", "q"))]
+    for b in range(n):
+        ctes.append(f"e{b} AS (SELECT i, j, {', '.join(f'p{k}, q{k}' for k in range(K))}, v - ({_DOT}) AS e FROM r JOIN u{b} ON i = u{b}.id JOIN w{b} ON j = w{b}.id WHERE batch = {b})")
+        for t, key, own, other in (("u", "i", "p", "q"), ("w", "j", "q", "p")):
+            moved = ", ".join(f"any_value({t}{b}.{own}{k}) + coalesce(avg(0.005e0 * (2 * e * e{b}.{other}{k} - 0.02e0 * e{b}.{own}{k})), 0) AS {own}{k}" for k in range(K))
+            ctes.append(f"{t}{b + 1} AS (SELECT id, {moved} FROM {t}{b} LEFT JOIN e{b} ON e{b}.{key} = id GROUP BY id)")
+    side = lambda name, t, f: f"SELECT '{name}' AS side, id, {', '.join(f'round({f}{k}, 6) AS f{k}' for k in range(K))} FROM {t}{n}"
+    return "WITH " + ", ".join(ctes) + " " + side("user", "u", "p") + " UNION ALL " + side("item", "w", "q")
+
+
+@query(_batches(2))
+def q51b_mf_batches(spark, sf_dir):
+    """A round whose factors are synchronised after half of the ratings."""
+    r, users, items = _model(spark, sf_dir)
+    users, items = MF.fit(r, users, items, PLAIN, 1, sync_every=max(1, -(-r.count() // 2)), seed=7)
+    return _rounded(users, "user").unionByName(_rounded(items, "item"))
+
+
 _PRED = f"greatest(1e0, least(5e0, {MEAN}e0 + {_DOT}))"
 
 

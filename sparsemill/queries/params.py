@@ -103,6 +103,25 @@ def q33_pull_multi(spark, sf_dir):
     return P.pull_many(held, requests, "p_").withColumn("value", F.round("value", 4))
 
 
+@query(f"SELECT 'p[' || key || ',:]_4' AS parameter, key::VARCHAR AS index, round(value, 4) AS value FROM {TABLE}")
+def q33t_templates(spark, sf_dir):
+    """Keys from indexes by a template, and back."""
+    from ..functions.text import stripped, templated
+
+    named = _held(spark, sf_dir).select(templated("p[", F.col("key"), ",:]_4").alias("parameter"), "value")
+    return named.select("parameter", stripped(F.col("parameter"), "p[", ",:]_4").alias("index"), F.round("value", 4).alias("value"))
+
+
+@query(
+    f"SELECT p.key, round(list_reduce(list_prepend(p.value, coalesce(d.deltas, [])), lambda a, x: a / 2 + x), 4) AS value"
+    f" FROM {_PUSHED} p LEFT JOIN (SELECT key, list(value ORDER BY seq) AS deltas FROM {OPERATIONS} WHERE op = 'inc' GROUP BY key) d USING (key)"
+)
+def q30o_kv_update_in_order(spark, sf_dir):
+    """An accumulator that goes by the order: half of what was there, and the new one."""
+    deltas = operations(spark, sf_dir).where("op = 'inc'").select("key", "seq", F.col("value").alias("delta"))
+    return P.update_in_order(_pushed(spark, sf_dir), deltas, lambda a, x: a / 2 + x).withColumn("value", F.round("value", 4))
+
+
 @query(f"SELECT r.key, t.key IS NOT NULL AS present FROM {_ASKED} r LEFT JOIN {TABLE} t USING (key)")
 def q34_contains(spark, sf_dir):
     return P.contains(_held(spark, sf_dir), _asked(spark, sf_dir))

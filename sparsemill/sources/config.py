@@ -19,6 +19,8 @@ class JobConfig:
     beta: float = 0.01
     rounds: int = 3
     limit_s: int = 0
+    #: Ratings after which factors are synchronised within a round; 0 is once a round.
+    sync_every: int = 0
 
     @classmethod
     def parse(cls, text: str) -> JobConfig:

@@ -1,0 +1,91 @@
+"""What a user's settings do: staleness, batches, the start, ids that are texts."""
+
+from __future__ import annotations
+
+import json
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparsemill import jobs, shared
+from sparsemill.operators import grid
+from sparsemill.plans import factors as MF
+from sparsemill.plans import regression as R
+from sparsemill.plans.loop import stale_rounds
+from sparsemill.sources.config import JobConfig
+from sparsemill.sources.edges import read_edges
+
+
+@pytest.fixture(scope="module")
+def ratings_file(tmp_path_factory):
+    rng = np.random.default_rng(1)
+    path = tmp_path_factory.mktemp("in") / "ratings.txt"
+    path.write_text("".join(f"u{i},m{j},{v}\n" for i, j, v in zip(rng.integers(0, 12, 200), rng.integers(0, 9, 200), rng.integers(1, 6, 200), strict=True)))
+    return str(path)
+
+
+def config(path, **more):
+    return JobConfig.parse(json.dumps({"input": path, "k": 3, "rounds": 4, "alpha": 0.02, **more}))
+
+
+def test_staleness_and_batches_of_a_job(spark, ratings_file):
+    found = {name: jobs.factorise(spark, config(ratings_file, **more)).first()["rmse"] for name, more in (("none", {}), ("again", {}), ("stale", {"limit_s": 2}), ("batches", {"sync_every": 50}))}
+    assert found["none"] == pytest.approx(found["again"]) and found["stale"] > found["none"] > found["batches"]  # more clocks see newer factors
+
+
+def test_stale_logistic_job(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    (tmp_path / "s.txt").write_text("".join(f"{a},{b},{int(a + b > 0)}\n" for a, b in rng.normal(size=(50, 2))))
+    row = {s: jobs.logistic(spark, config(str(tmp_path / "s.txt"), alpha=0.5, limit_s=s)).first() for s in (0, 2)}
+    samples = jobs.read_samples(spark, str(tmp_path / "s.txt"))
+    want = stale_rounds([0.0] * 3, lambda seen, newest, _: R.logistic_step(samples, seen, 0.5, 0.01, newest), 4, 2)
+    assert row[2]["theta"] == pytest.approx(want) and row[0]["theta"] != pytest.approx(want)
+
+
+def test_random_start(spark):
+    ids = spark.range(1000).select(F.col("id").alias("i"))
+    first, again, other = (MF.random_start(ids, "i", 8, seed).orderBy("id").collect() for seed in (1, 1, 2))
+    values = np.array([r["f"] for r in first])
+    assert first == again != other and len({tuple(r["f"]) for r in first}) == 1000
+    assert values.min() >= 0 and values.max() < 1 and abs(values.mean() - 0.5) < 0.02 and abs(values.std() - 12**-0.5) < 0.02
+
+
+def test_grid_of_names(spark, ratings_file):
+    edges = read_edges(spark, ratings_file, "triple", ",")
+    cells = grid.exchange(edges, 3, 2).select("i", "j", "cell", F.spark_partition_id().alias("part")).collect()
+    assert len(cells) == 200 and all(r["cell"] == r["part"] for r in cells) and {r["cell"] for r in cells} == set(range(6))
+    assert len({(r["i"], r["cell"] // 2) for r in cells}) == len({r["i"] for r in cells})
+    numbers = spark.createDataFrame([("7", "5")], "i string, j string")
+    assert numbers.select(grid.cell_of(F.col("i"), F.col("j"), 4, 3).alias("c")).first()["c"] == 3 * 3 + 2
+
+
+def test_nested_format(spark, tmp_path):
+    (tmp_path / "n.txt").write_text("a\tx:2,y,z:0.5\n")
+    assert sorted(map(tuple, read_edges(spark, str(tmp_path / "n.txt"), "nested").collect())) == [("a", "x", 2.0), ("a", "y", 1.0), ("a", "z", 0.5)]
+
+
+def test_cells_learn_once_a_round(spark, ratings_file, monkeypatch):
+    """The Python pass is in one plan, which is written, and the sides are read from there."""
+    plans, write = [], shared.materialize
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(MF, "materialize", watched)
+    edges = read_edges(spark, ratings_file, "triple", ",").select(F.xxhash64("i").alias("i"), F.xxhash64("j").alias("j"), "v")
+    sides = MF.grid_round(edges, MF.random_start(edges, "i", 3), MF.random_start(edges, "j", 3), MF.Settings(3, 0.01, 0.02), 2, 2)
+    plans += [s._jdf.queryExecution().executedPlan().toString() for s in sides]
+    assert sum(p.count("FlatMapGroupsInPandas") for p in plans) == 1
+
+
+def test_rounds_that_are_over_are_removed(spark, tmp_path):
+    import os
+
+    held = shared.materialize(spark.range(3), "over")
+    (path,) = {os.path.dirname(f.removeprefix("file:")) for f in held.inputFiles()}
+    assert os.path.isdir(path)
+    shared.discard(held)
+    shared.discard(spark.range(3))
+    assert not os.path.isdir(path)
