@@ -115,7 +115,7 @@ class TreeCoder:
         return self.tokenizer.decode_batch(batch, skip_special_tokens=False)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of whole texts. Level by level, all the texts' leaves and windows go to the library together, which encodes them in parallel."""
+        """Ids of whole texts. Level by level, the leaves and windows of all texts are encoded at once: those of PLAIN by the words that the worker knows, the others by the library, which takes them in parallel."""
         trees: list[list[int | str]] = []  # of a text, its spans' places in `work`, and special tokens between them
         work: list[str] = []
         for text in texts:
@@ -262,8 +262,9 @@ def names_of(own: TreeCoder) -> list[str]:
 def op1_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's ids and of the text they decode to.
 
-    A null or empty text has no tokens; repeated rows each have their row; an empty table gives
-    none; other columns of the input are not read.
+    A null or empty text has no tokens; a very long text is encoded whole, by halves; there are no
+    ties, as the merges have an order; repeated rows each have their row; an empty table gives none;
+    other columns of the input are not read.
     """
     import public_tokenizers
 

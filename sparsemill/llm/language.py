@@ -107,7 +107,8 @@ class Model:
 def fit(docs: DataFrame, most: int = TRAINING_DOCUMENTS) -> Model | None:
     """Counts of n-grams and scripts by language over labelled documents of the training folds; about `most` of them, chosen by a hash of doc_id.
 
-    Tasks count whole documents; what comes to the driver is a row for each language and bucket.
+    Tasks count whole documents; what comes to the driver is a row for each bucket that a language
+    of the sample has, which the sample bounds, however many languages there are.
     """
     rows = docs.where(F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT_FOLD))
     n = rows.count()
@@ -245,9 +246,10 @@ def keep_known(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document.
 
-    A text that is null or has no letter is `und` with score 0; rows without lang are not learned
-    from; repeated rows each have their row; an empty table gives none; other columns of the input
-    are not read.
+    A text that is null or has no letter is `und` with score 0; of a very long text all words count;
+    of languages with equal scores the first by name is taken, and a path stays where it is rather
+    than switch for nothing; rows without lang are not learned from; repeated rows each have their
+    row; an empty table gives none; other columns of the input are not read.
     """
     docs = documents(spark, sf_dir)
     model = fit(docs)
