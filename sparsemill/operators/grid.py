@@ -32,6 +32,16 @@ def cell_of(i: Column, j: Column, rows: int, columns: int) -> Column:
     return (F.pmod(whole(i), F.lit(rows)) * columns + F.pmod(whole(j), F.lit(columns))).cast("int")
 
 
+def row_cells(i: Column, rows: int, columns: int) -> Column:
+    """All cells that edges of a row may lie in, as an array."""
+    return F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: (F.pmod(whole(i), F.lit(rows)) * columns + c).cast("int"))
+
+
+def column_cells(j: Column, rows: int, columns: int) -> Column:
+    """All cells that edges of a column may lie in, as an array."""
+    return F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: (r * columns + F.pmod(whole(j), F.lit(columns))).cast("int"))
+
+
 def whole(id_: Column) -> Column:
     """A whole number for an id of any kind."""
     return F.coalesce(id_.try_cast("string").try_cast("bigint"), F.xxhash64(id_))

@@ -5,7 +5,7 @@ Ratings are edges (i, j, v), factors (id, f array<double>, b double): a row of u
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,12 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import add, avg_arrays, clamp, dot_of
-from ..operators.grid import cell_of
+from ..operators.grid import cell_of, column_cells, row_cells
 from ..shared import materialize
 from .loop import cut, stale_rounds
 
 LOW, HIGH = 1.0, 5.0
 
+#: What a row is to its cell: factors of a user or an item, or an edge. Factors come first.
+FACTORS, EDGES = (0, 1), 2
+#: Changed factors that a cell hands over at once.
+ROWS_AT_ONCE = 10_000
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -143,7 +148,7 @@ def regularised_loss(edges: DataFrame, users: DataFrame, items: DataFrame, s: Se
 
 @dataclass
 class Cell:
-    """What a task learns from: edges by the places of their ends, and the factors and biases of these, which a pass changes."""
+    """What a task learns from: edges by the places of their ends, and the factors and biases of the cell, which a pass changes. Edges are a batch of the cell's."""
 
     i: np.ndarray
     j: np.ndarray
@@ -188,27 +193,50 @@ def grid_round(
 ) -> tuple[DataFrame, DataFrame]:
     """One round in which each cell of a grid goes through its edges one by one, from common factors; the cells' changes are averaged.
 
-    A cell is a task's rows, each with the factors of both its ends, so a grid must have cells that
-    fit in memory. `order` sorts a cell's edges; without it they go by i, then j. What the cells
-    change is written once, for both sides.
+    A cell's edges go to its task sorted, and pass by in batches, each of which `learn` gets in turn;
+    only the factors of the cell's rows and columns must fit in memory, which reach it before the
+    edges, once. `order` sorts a cell's edges; without it they go by i, then j. What the cells change
+    is written once, for both sides.
     """
     key = order or (lambda i, j: F.lit(0))
-    joined = with_factors(edges, users, items).withColumn("cell", cell_of(F.col("i"), F.col("j"), rows, columns)).withColumn("turn", key(F.col("i"), F.col("j")))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["turn", "i", "j", "v"], kind="stable")
-        sides = []
-        for ids, factors, bias in (("i", "p", "bu"), ("j", "q", "bi")):
-            first = rows.drop_duplicates(ids)
-            names = first[ids].to_numpy()
-            sides.append((names, rows[ids].map({x: n for n, x in enumerate(names)}).to_numpy(), np.stack(first[factors].to_numpy()).astype(float), first[bias].to_numpy(float).copy()))
-        (i_ids, i, p, bu), (j_ids, j, q, bi) = sides
-        cell = Cell(i, j, rows["v"].to_numpy(), p.copy(), q.copy(), bu.copy(), bi.copy(), mean)
-        learn(cell, s)
-        changed = (("i", i_ids, cell.p - p, cell.bu - bu), ("j", j_ids, cell.q - q, cell.bi - bi))
-        return pd.concat([pd.DataFrame({"side": side, "id": ids, "delta": list(f), "bias": b}) for side, ids, f, b in changed])
-
-    steps = joined.select("cell", "turn", "i", "j", "v", "p", "q", "bu", "bi").groupBy("cell").applyInPandas(run, "side string, id long, delta array<double>, bias double")
+    given = lambda factors, kind, cells: factors.select(F.explode(cells).alias("cell"), F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), F.concat("f", F.array("b")).alias("f"))
+    sides = given(users, FACTORS[0], row_cells(F.col("id"), rows, columns)).unionByName(given(items, FACTORS[1], column_cells(F.col("id"), rows, columns)))
+    sides = sides.select("cell", "kind", F.col("id").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0.0).alias("v"), "f")  # no null ids, which pandas would hold as floats
+    i, j = F.col("i"), F.col("j")
+    ends = edges.where(i.isNotNull() & j.isNotNull()).select(cell_of(i, j, rows, columns).alias("cell"), F.lit(EDGES).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"), F.col("v").cast("double").alias("v"), key(i, j).alias("turn"))
+    held = ends.unionByName(sides, allowMissingColumns=True)
+    held = held.repartition("cell").sortWithinPartitions("cell", "kind", F.asc_nulls_last("turn"), "i", "j", F.asc_nulls_last("v")).drop("turn")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        given: tuple[list, list] = ([], [])
+        cell = None
+        for batch in batches:
+            for kind in FACTORS:
+                part = batch[batch["kind"] == kind]
+                if len(part):
+                    given[kind].append((part["i"].to_numpy(), np.stack(part["f"].to_numpy()).astype(float)))
+            part = batch[batch["kind"] == EDGES]
+            if not (len(part) and all(given)):
+                continue
+            if cell is None:
+                ids, f = zip(*((pd.Index(np.concatenate(x)), np.concatenate(y)) for x, y in (zip(*side, strict=True) for side in given)), strict=True)
+                none = np.zeros(0, int)
+                cell = Cell(none, none, none, *(x[:, :-1].copy() for x in f), *(x[:, -1].copy() for x in f), mean)
+                met = [np.zeros(len(x), bool) for x in ids]
+            a, b, v = ids[0].get_indexer(part["i"]), ids[1].get_indexer(part["j"]), part["v"].to_numpy()
+            known = (a >= 0) & (b >= 0)
+            cell.i, cell.j, cell.v = a[known], b[known], v[known]
+            learn(cell, s)
+            met[0][cell.i] = met[1][cell.j] = True
+        if cell is None:
+            return
+        for side, names, before, after, bias, seen in zip("ij", ids, f, (cell.p, cell.q), (cell.bu, cell.bi), met, strict=True):
+            at = np.flatnonzero(seen)
+            for k in range(0, len(at), ROWS_AT_ONCE):
+                part = at[k : k + ROWS_AT_ONCE]
+                yield pd.DataFrame({"side": side, "id": names[part], "delta": list(after[part] - before[part, :-1]), "bias": bias[part] - before[part, -1]})
+
+    steps = held.groupBy("cell").applyInPandas(run, "side string, id long, delta array<double>, bias double")
     steps = materialize(steps, "cell-steps")
     side = lambda factors, name: moved(factors, steps.where(F.col("side") == name), "id", "delta", "bias", s.k)
     return side(users, "i"), side(items, "j")

@@ -114,6 +114,28 @@ def test_grid_round_averages_cells(ratings):
         assert np.allclose(f, np.mean([p[i] for p, has in ends if i in has], axis=0))
 
 
+def test_a_cell_passes_by_in_batches(spark, ratings):
+    """A cell of 13 edges is never held whole; its batches together are one pass, in the order asked for."""
+    s = MF.Settings(2, 0.05, 0.02)
+
+    def learn(cell, s):
+        assert len(cell.i) <= 4, len(cell.i)
+        MF.simultaneous(cell, s)
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")
+    try:
+        users, items = MF.grid_round(ratings, MF.start(ratings, "i", 2), MF.start(ratings, "j", 2), s, 1, 1, learn, order=lambda i, j: -i * 10 + j)
+        users, items = held_of(users, 5), held_of(items, 4)
+    finally:
+        spark.conf.set(name, before)
+    p, q = start()
+    for triple in sorted(TRIPLES, key=lambda t: (-t[0], t[1])):
+        serial_pass([triple], p, q, s)
+    assert np.allclose(users, p) and np.allclose(items, q)
+
+
 def test_training_lowers_the_error(ratings):
     s = MF.Settings(4, 0.1, 0.02)
     first = MF.start(ratings, "i", 4), MF.start(ratings, "j", 4)
